@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlake.llm import decontaminate, licenses, sharding, url_rules, warc
+from kinlake.llm import decontaminate, jaccard_join, licenses, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
     "op2_sharding": sharding.op2_sharding,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_warc": warc.op6_warc,
