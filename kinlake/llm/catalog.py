@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlake.llm import decontaminate, jaccard_join, licenses, packing, sharding, url_rules, warc
+from kinlake.llm import decontaminate, jaccard_join, licenses, packing, sharding, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_rules.op9_url_filter,
     "op10_packing": packing.op10_packing,
 }
