@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -48,3 +49,16 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def drop_matching(df: DataFrame, bad: DataFrame, condition: Column) -> DataFrame:
+    """``df`` without the rows that match a narrow table.
+
+    The table is written first and broadcast only when its counted rows are within
+    ``BROADCAST_ROWS``; beyond that both sides are shuffled.
+    """
+    bad = stash(bad, "drop-keys")
+    return df.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, condition, "left_anti")
