@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlake.llm import decontaminate, embedding_dedup, jaccard_join, licenses, packing, sharding, toxicity, url_rules, warc
+from kinlake.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, licenses, packing, sharding, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
     "op2_sharding": sharding.op2_sharding,
+    "op3_html_extract": html_extract.op3_html_extract,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_warc": warc.op6_warc,

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.session import table
+from kinlake.session import drop_matching, table
 
 WINDOW = 10
 BROADCAST_ROWS = 1_000_000
@@ -97,7 +97,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, with all their columns."""
     hits = find_hits(documents, benchmark, window).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
-    return documents.join(hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    return drop_matching(documents, hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

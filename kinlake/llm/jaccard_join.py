@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from kinlake.llm.shingles import mix, set_ids, shingle_sets
 from kinlake.operators.components import connected_components
-from kinlake.session import stash, table
+from kinlake.session import drop_matching, stash, table
 
 SKETCH_BITS = 20
 SLICES = 16
@@ -368,13 +368,17 @@ def ngram_jaccard_components(documents: DataFrame) -> DataFrame:
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """The documents that name their component (the smallest id), with all their columns.
 
-    Rows without an id are kept; of rows that share id and text one is kept.
+    Ids are taken to belong to one text each: of rows that share an id one is kept.
+    Rows without an id are kept.
     """
-    found = ngram_jaccard_components(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    kept = documents.join(found, F.col("doc_id") == F.col("__doc"), "left_semi")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = kept.withColumn("__one", F.row_number().over(one)).where("__one = 1").drop("__one")
-    return kept.unionByName(documents.where("doc_id IS NULL"))
+    narrow = ngram_jaccard_components(documents).select(F.col("doc_id").alias("__doc"), "component_id")
+    narrow = stash(narrow.where("__doc IS NOT NULL").groupBy("__doc").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "jaccard-kept")
+    kept = drop_matching(documents, narrow.where("component_id != __doc").select("__doc"), F.col("doc_id") == F.col("__doc"))
+    if narrow.where("n > 1").isEmpty():
+        return kept
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    once = kept.where("doc_id IS NOT NULL").withColumn("__one", F.row_number().over(one)).where("__one = 1").drop("__one")
+    return once.unionByName(kept.where("doc_id IS NULL"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.llm.shingles import shingle_sets
-from kinlake.session import stash, table
+from kinlake.session import drop_matching, stash, table
 
 TRAIN_ROWS = 20_000
 MODEL_UNITS = 100_000
@@ -258,7 +258,7 @@ def drop_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
     hashed = documents.select(F.col("doc_id"), "text")
     bad = score_documents(hashed.select(F.xxhash64("text").alias("doc_id"), "text"), model).where(F.col("score") >= threshold)
     bad = bad.select(F.col("doc_id").alias("__hash")).distinct()
-    return documents.join(bad, F.xxhash64("text") == F.col("__hash"), "left_anti")
+    return drop_matching(documents, bad, F.xxhash64("text") == F.col("__hash"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
