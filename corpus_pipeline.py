@@ -1,4 +1,5 @@
-"""A corpus pipeline of four stages over ``documents``."""
+"""A corpus pipeline over ``documents``: toxic documents go, one of each group of near
+copies stays, contaminated documents go, and what is left is packed into sequences."""
 
 from __future__ import annotations
 
@@ -6,14 +7,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from kinlake.llm import decontaminate, jaccard_join, packing, toxicity
+from kinlake.session import stash, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score as toxic; learns from the labels outside the held-out third."""
+    model = toxicity.fit(docs, toxicity.training_labels(spark, sf_dir))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each component of the n-gram Jaccard join."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences; one row per piece."""
+    return packing.pack_documents(docs, packing.tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack),
+]
+# Scores of a trained model aren't SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's result written and read again."""
-    from kinlake.session import stash, table
-
+    """The stages in order; each result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
