@@ -47,6 +47,18 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bounds the rows of an Arrow batch for this session: rows that hold whole texts can be
+    long, and each running task has a few batches in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
