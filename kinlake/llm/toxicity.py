@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.llm.shingles import shingle_sets
-from kinlake.session import drop_matching, stash, table
+from kinlake.session import drop_matching, small_batches, stash, table
 
 TRAIN_ROWS = 20_000
 MODEL_UNITS = 100_000
@@ -42,7 +42,8 @@ DRIFT = 0.5
 EVIDENCE = 3.5
 PREFIXES = (7, 6, 5, 4)
 SIGNIFICANT = 1.0
-CACHE = 500_000
+CACHE = 150_000
+COUNTED_AT_ONCE = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -127,22 +128,28 @@ def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
 def _unit_counts(sample: DataFrame) -> DataFrame:
     """``(unit, toxic, clean)`` documents that hold each word (``w:``) or prefix (``p:``)."""
 
+    def flush(seen: dict[bool, Counter]) -> pa.RecordBatch:
+        units = list(seen[True] | seen[False])
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([seen[True][u] for u in units], pa.int64()), pa.array([seen[False][u] for u in units], pa.int64())], names=["unit", "toxic", "clean"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {True: Counter(), False: Counter()}
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(WORD.findall((text or "").lower()))
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                words = set(WORD.findall((text.as_py() or "").lower()))
                 seen[toxic].update({"w:" + w for w in words} | {"p:" + w[:k] for w in words for k in PREFIXES if len(w) >= k})
-        units = list(set(seen[True]) | set(seen[False]))
-        for lo in range(0, len(units), 50_000):
-            part = units[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[True][u] for u in part], pa.int64()), pa.array([seen[False][u] for u in part], pa.int64())], names=["unit", "toxic", "clean"])
+                if len(seen[True]) + len(seen[False]) > COUNTED_AT_ONCE:
+                    yield flush(seen)
+                    seen = {True: Counter(), False: Counter()}
+        if seen[True] or seen[False]:
+            yield flush(seen)
 
     return sample.mapInArrow(count, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on ``labels(doc_id, toxic)``; the driver gets the model's units and one pair of numbers per sampled document."""
+    small_batches(documents.sparkSession)
     sample = stash(training_sample(documents, labels, rows), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -213,6 +220,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score, passages)``: the significant passages as character spans with their calibrated scores."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(passage))])
