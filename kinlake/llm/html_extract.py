@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.session import table
+from kinlake.session import small_batches, table
 
 PATH_DIM, WORD_DIM, NUMBERS = 96, 32, 6
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
@@ -376,6 +376,7 @@ def extract(pages: list[str | None], weights: dict[str, np.ndarray], words: _Wor
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``."""
+    small_batches(pages.sparkSession)
     weights = pages.sparkSession.sparkContext.broadcast(trained())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
