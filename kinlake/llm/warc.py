@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.session import new_path, stash, table
+from kinlake.session import new_path, small_batches, stash, table
 
 MIN_REVISIT = 100
 CHUNK = 1 << 20
@@ -212,6 +212,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     The list of archives is written only by tasks that ended well, so archives of
     lost attempts are never read.
     """
+    small_batches(pages.sparkSession)
     return stash(write_archives(classify(pages), folder), "warc-archives")
 
 
