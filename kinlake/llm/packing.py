@@ -23,9 +23,11 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinlake.session import stash, table
+from kinlake.session import small_batches, stash, table
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 600_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,33 +59,60 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+# The tokenizer's own split, for texts of Latin-1 letters, ASCII digits, signs and white space.
+_PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ0-9!-/:-@\[-`{-~ \t\n\r\x0b\x0c]*\Z")
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r\x0b\x0c]+")
+_MARK = "<|"  # of special tokens
+_WORD_END = "</w>"
+
+
 class WordIds:
-    """Ids of texts, by a bounded cache of the ids of their space-separated parts.
+    """Ids of texts, by a bounded cache of the ids of their words.
 
-    No token of this tokenizer crosses ASCII white space, so a text's ids are those of
-    its parts, one after the other.
+    This tokenizer splits a text into words before anything else.  Plain texts are
+    split here in the same way, and only words not seen lately go through the
+    tokenizer, many at a time: its tokens say where a word ends.  All other texts go
+    through it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        parts = text.split()
-        known = self.known
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def __call__(self, text: str) -> bytes:
+        if _MARK in text or not _PLAIN.match(text):
+            return self.whole(text).tobytes()
+        units, known = _UNIT.findall(text.lower()), self.known
         try:
-            return b"".join([known[p] for p in parts])
+            return b"".join([known[u] for u in units])
         except KeyError:
             pass
-        new = list({p for p in parts if p not in known})
-        if len(known) + len(new) > CACHE:
+        if len(known) > CACHE:
             known.clear()
-            new = list(set(parts))
-        for part, got in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[part] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+        new = list({u for u in units if u not in known})
+        ids = self.whole(" ".join(new))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new) or cuts[-1] != len(ids):
+            return self.whole(text).tobytes()
+        blob, at = ids.tobytes(), 0
+        for unit, cut in zip(new, cuts.tolist(), strict=True):
+            known[unit] = blob[4 * at : 4 * cut]
+            at = cut
+        return b"".join([known[u] for u in units])
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, whatever its tasks."""
+    return WordIds(path)
 
 
 def tokenize(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -92,18 +121,18 @@ def tokenize(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = None
+        ids_of = word_ids(path)
         for batch in batches:
-            ids_of = ids_of or WordIds(path)
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_string()), strict=True):
-                ids = (ids_of(text.as_buffer().to_pybytes()) if text.is_valid else b"") + b"\0\0\0\0"
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = (ids_of(text.as_py()) if text.is_valid else b"") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, PIECE_SCHEMA)
 
 
@@ -187,7 +216,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     local = Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = parts.withColumn("__rank", F.row_number().over(local) - 1).join(offsets, ["length", "__part"])
+    ranked = parts.withColumn("__rank", F.row_number().over(local) - 1).join(offsets.hint("merge"), ["length", "__part"])
     ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__rank")).alias("__rank"))
     names = [*pieces.columns, "sequence_id", "offset"]
 
