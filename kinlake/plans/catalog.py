@@ -1,10 +1,8 @@
-"""Registered queries over the driver's tables and the SQL that checks them."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kinlake.plans import q_blocking, q_budget, q_grouping, q_metrics, q_models, q_profile, q_segment, q_similarity, q_text, q_truth  # noqa: F401
+from kinlake.plans.entries import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
