@@ -200,4 +200,4 @@ def canopies(edges: DataFrame, nodes: DataFrame, tight: float, loose: float, lim
             gone.update(near_by.loc[near_by["cos"] >= tight, "j"].astype("int64"))
         return pd.DataFrame(sorted(out), columns=["i", "j"], dtype="int64")
 
-    return packed.groupBy(F.lit(0)).applyInPandas(scan, "i long, j long")
+    return packed.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(scan, "i long, j long")

@@ -69,7 +69,7 @@ def at_once(pairs: DataFrame, records: DataFrame, group: Grouper, cap: int, rid:
         labels = group(np.searchsorted(ids, edges["i"]), np.searchsorted(ids, edges["j"].astype("int64")), edges["w"].to_numpy(float), len(ids), options)
         return pd.DataFrame({"rid": ids, "label": pd.Series(ids).groupby(labels).transform("min").to_numpy()})
 
-    return compact(rows.groupBy(F.lit(0)).applyInPandas(solve, "rid long, label long"))
+    return compact(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solve, "rid long, label long"))
 
 
 class _Sets:

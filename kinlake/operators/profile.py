@@ -55,14 +55,14 @@ def column_profile(records: DataFrame, columns: list[str], rid: str = "rid", tru
 def samples(records: DataFrame, columns: list[str], rid: str = "rid", n: int = 3) -> DataFrame:
     """The first ``n`` values of each column."""
     order = Window.partitionBy("column").orderBy("rid")
-    return long_values(records, columns, rid).where("value IS NOT NULL").withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).select(F.col("column").alias("name"), "at", F.substring("value", 1, 60).alias("value"))
+    return long_values(records, columns, rid).where("value IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select(F.col("column").alias("name"), "place", F.substring("value", 1, 60).alias("value"))
 
 
 def top_values(records: DataFrame, columns: list[str], rid: str = "rid", n: int = 5) -> DataFrame:
     """The ``n`` most frequent values of each column, earlier ones first among equals."""
     counts = _value_counts(long_values(records, columns, rid)).where("value IS NOT NULL")
     order = Window.partitionBy("column").orderBy(F.desc("n"), "first")
-    return counts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).select(F.col("column").alias("name"), "at", F.substring("value", 1, 60).alias("value"), "n")
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select(F.col("column").alias("name"), "place", F.substring("value", 1, 60).alias("value"), "n")
 
 
 def truth_summary(records: DataFrame, truth: str) -> DataFrame:

@@ -56,10 +56,10 @@ def sorted_window_tuning(spark: SparkSession, sf: str) -> DataFrame:
     return counts.orderBy(F.abs(F.col("pairs") - 5000), "w").limit(1)
 
 
-@query("SELECT count(*) AS pairs, sum(a.s_suppkey) AS sum_i, sum(b.s_suppkey) AS sum_j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
+@query("SELECT count(*) AS pairs, CAST(sum(a.s_suppkey) AS BIGINT) AS sum_i, CAST(sum(b.s_suppkey) AS BIGINT) AS sum_j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
 def block_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = B.block_all(table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "rid"))
-    return pairs.agg(F.count("*").alias("pairs"), F.sum("i").cast("decimal(38,0)").alias("sum_i"), F.sum("j").cast("decimal(38,0)").alias("sum_j"))
+    return pairs.agg(F.count("*").alias("pairs"), F.sum("i").alias("sum_i"), F.sum("j").alias("sum_j"))
 
 
 @query("SELECT lower(trim(p_name)) AS key, count(*) AS size, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM part GROUP BY 1")

@@ -14,10 +14,10 @@ from kinlake.plans.pipeline import Config, resolve
 from kinlake.plans.q_blocking import PARTS, SAME, parts
 from kinlake.session import stash, table
 
-BRAND = "c AS (SELECT a.rid AS i, b.rid AS j, a.name AS an, b.name AS bn, a.type AS at, b.type AS bt FROM p a JOIN p b ON a.brand = b.brand AND a.rid < b.rid)"
+BRAND = "c AS (SELECT a.rid AS i, b.rid AS j, a.name AS an, b.name AS bn, a.type AS ta, b.type AS tb FROM p a JOIN p b ON a.brand = b.brand AND a.rid < b.rid)"
 LV = "1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))"
 JACCARD = "len(list_intersect(string_split({0}, ' '), string_split({1}, ' '))) / len(list_distinct(list_concat(string_split({0}, ' '), string_split({1}, ' '))))"
-LV_NAME, JC_TYPE = LV.format("an", "bn"), JACCARD.format("at", "bt")
+LV_NAME, JC_TYPE = LV.format("an", "bn"), JACCARD.format("ta", "tb")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +50,8 @@ def sim_combine_weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PARTS}, c AS (SELECT a.rid AS i, b.rid AS j, a.name AS an, b.name AS bn, CASE WHEN a.rid % 7 <> 0 AND b.rid % 7 <> 0 THEN a.type END AS at, b.type AS bt FROM p a JOIN p b ON a.brand = b.brand AND a.rid < b.rid)
-SELECT i, j, round(CASE WHEN at IS NULL THEN {LV_NAME} ELSE ({LV_NAME} + {JC_TYPE}) / 2 END, 6) AS score FROM c"""
+    f"""WITH {PARTS}, c AS (SELECT a.rid AS i, b.rid AS j, a.name AS an, b.name AS bn, CASE WHEN a.rid % 7 <> 0 AND b.rid % 7 <> 0 THEN a.type END AS ta, b.type AS tb FROM p a JOIN p b ON a.brand = b.brand AND a.rid < b.rid)
+SELECT i, j, round(CASE WHEN ta IS NULL THEN {LV_NAME} ELSE ({LV_NAME} + {JC_TYPE}) / 2 END, 6) AS score FROM c"""
 )
 def sim_missing_aware(spark: SparkSession, sf: str) -> DataFrame:
     """Every seventh part lacks its type, which is then left out of the mean."""

@@ -59,6 +59,27 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def trimmed(function):
+    """Wraps a function for ``mapInArrow``: once its task ends, memory that the (reused) Python
+    worker has freed goes back to the machine."""
+
+    def run(batches):
+        yield from function(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
