@@ -155,8 +155,11 @@ def minhash(shingles: Column, perms: int = 128) -> Column:
     """``perms`` minima of hashes ``(a * x + b) mod p`` of the shingles' 32-bit digests."""
     base = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
     prime = 2**31 - 1
-    values = [F.array_min(F.transform(base, lambda x, k=k: (x * (2 * k + 1) + 7919 * k * k + 104729) % prime)) for k in range(perms)]
-    return F.array(*values)
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(base, lambda x: (x * (2 * k + 1) + 7919 * k * k + 104729) % prime))
+
+    return F.array(*(least(k) for k in range(perms)))
 
 
 def lsh_pairs(signatures: DataFrame, bands: int = 16, rows: int = 8, bucket_cap: int = 300) -> DataFrame:
