@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.operators.components import connected_components
-from kinlake.session import stash, table
+from kinlake.session import stash, table, trimmed
 
 THRESHOLD = 0.98
 DELTA = math.sqrt(2 - 2 * THRESHOLD)
@@ -92,7 +92,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
         return known[dim]
 
     picked = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long"))
-    return picked.mapInArrow(read, "vec_id long, class long, label long, dim int, cell int, raw binary")
+    return picked.mapInArrow(trimmed(read), "vec_id long, class long, label long, dim int, cell int, raw binary")
 
 
 KEYS = ["label", "dim", "cell", "sub"]
@@ -120,7 +120,7 @@ def pack_blocks(classes: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    return classes.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(pack, "label long, dim int, cell int, sub int, ids binary, sizes binary, raw binary")
+    return classes.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(trimmed(pack), "label long, dim int, cell int, sub int, ids binary, sizes binary, raw binary")
 
 
 def collisions(a: np.ndarray, b: np.ndarray, window: float = WINDOW) -> np.ndarray:
@@ -180,7 +180,7 @@ def meet(pairs: DataFrame) -> DataFrame:
                 root = _roots(i, j, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(n[met]), pa.array(ids[root[met]])], schema=schema)
 
-    return pairs.mapInArrow(look, "class long, n_links long, root long")
+    return pairs.mapInArrow(trimmed(look), "class long, n_links long, root long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:

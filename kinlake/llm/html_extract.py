@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.session import small_batches, table
+from kinlake.session import small_batches, table, trimmed
 
 PATH_DIM, WORD_DIM, NUMBERS = 96, 32, 6
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
@@ -387,7 +387,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 texts = extract(part.column("html").to_pylist(), weights.value, words)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(trimmed(read), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinlake.session import small_batches, stash, table
+from kinlake.session import small_batches, stash, table, trimmed
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -133,7 +133,7 @@ def tokenize(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, PIECE_SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(read), PIECE_SCHEMA)
 
 
 def plan(counts: dict[int, int], capacity: Capacity = Capacity()) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -234,7 +234,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
                 offset[rows] = start[at] + inside % each[at] * v
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(sequence), pa.array(offset)], names=names)
 
-    return ranked.mapInArrow(assign, ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(assign), ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, path: str, capacity: Capacity = Capacity()) -> DataFrame:

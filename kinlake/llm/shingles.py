@@ -18,7 +18,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

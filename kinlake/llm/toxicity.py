@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.llm.shingles import shingle_sets
-from kinlake.session import drop_matching, small_batches, stash, table
+from kinlake.session import drop_matching, small_batches, stash, table, trimmed
 
 TRAIN_ROWS = 20_000
 MODEL_UNITS = 100_000
@@ -122,7 +122,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
                 keys.append(int(h[0].view(np.int64)) if len(h) else 0)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("text"), batch.column("toxic")], names=["key", "text", "toxic"])
 
-    return picked.mapInArrow(least, "key long, text string, toxic boolean").dropDuplicates(["key"]).select("text", "toxic")
+    return picked.mapInArrow(trimmed(least), "key long, text string, toxic boolean").dropDuplicates(["key"]).select("text", "toxic")
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
         if seen[True] or seen[False]:
             yield flush(seen)
 
-    return sample.mapInArrow(count, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(trimmed(count), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -177,7 +177,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mode
             out = [(toxic, *_segments(text, scores)) for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist([{"toxic": t, "n": n, "segments": [s for _, _, s in found]} for t, n, found in out], pa.schema([("toxic", pa.bool_()), ("n", pa.int64()), ("segments", pa.list_(pa.float64()))]))
 
-    measured = sample.mapInArrow(measure, "toxic boolean, n long, segments array<double>").where("n > 0").collect()  # at most `rows` rows
+    measured = sample.mapInArrow(trimmed(measure), "toxic boolean, n long, segments array<double>").where("n > 0").collect()  # at most `rows` rows
     best = [(r["n"], max(r["segments"], default=0.0)) for r in measured if not r["toxic"]]
     model.rate, model.scale = _extreme_value(np.array([n for n, _ in best], float), np.array([s for _, s in best]))
     x = np.array([_feature(_evidence(r["n"], [(0, 0, s) for s in r["segments"]], model)) for r in measured])
@@ -243,7 +243,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
                 spans.append(strong)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64()), pa.array(spans, pa.list_(passage))], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double, passages array<struct<start:int,end:int,evidence:double>>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(score), "doc_id long, score double, passages array<struct<start:int,end:int,evidence:double>>")
 
 
 def remainder(doc_id: str = "doc_id"):

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.session import new_path, small_batches, stash, table
+from kinlake.session import new_path, small_batches, stash, table, trimmed
 
 MIN_REVISIT = 100
 CHUNK = 1 << 20
@@ -105,7 +105,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             store.move(name + ".part", name)
             yield pa.RecordBatch.from_pylist([{"archive": name, "records": n, "bytes": size}])
 
-    return records.select("page_id", "html", "payload_bytes", "payload_digest", "record_type", "refers_to").mapInArrow(write, "archive string, records long, bytes long")
+    return records.select("page_id", "html", "payload_bytes", "payload_digest", "record_type", "refers_to").mapInArrow(trimmed(write), "archive string, records long, bytes long")
 
 
 def _inflated(stream: pa.NativeFile) -> Iterator[bytes]:
@@ -198,7 +198,7 @@ def read_chunks(archives: DataFrame, folder: str, with_data: bool = True, chunk:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return archives.select("archive").mapInArrow(read, CHUNK_SCHEMA)
+    return archives.select("archive").mapInArrow(trimmed(read), CHUNK_SCHEMA)
 
 
 SCHEMA = pa.schema(
