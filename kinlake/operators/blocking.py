@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinlake.functions.text import clean, pairs_of, prefix_key
-from kinlake.session import stash
+from kinlake.operators.ordering import global_rank
 
 MAX_PAIRS = 2_000_000
 SPLIT = 2_000
@@ -75,17 +74,6 @@ def block_all(records: DataFrame, rid: str = "rid", max_pairs: int | None = MAX_
     return pairs_within(records.select(F.col(rid).alias("rid"), F.lit(0).alias("key")))
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """0-based rank over the whole table without a single-task sort: range partitions are
-    ranked by themselves and moved by the sizes of those before."""
-    parts = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranked")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    return parts.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__part", "__in", "__before")
-
-
 def block_sorted(records: DataFrame, key: str, window: int = WINDOW, rid: str = "rid", normalise: Column | None = None) -> DataFrame:
     """Sorted neighbourhood: each record with the next ``window`` in the order of the lower-cased
     key (missing first, ties by id)."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinlake.operators.blocking import undirect
+from kinlake.operators.ordering import global_rank
 
 INSURANCE = 5
 COMMUNITY_CAP = 200
@@ -169,7 +170,7 @@ def posterior(x: Column, m: dict[str, float]) -> Column:
 
 def permuted_allocations(allocation: DataFrame, replicates: int, seed: int = 20261016) -> DataFrame:
     """``(replicate, i, n)``: the profile dealt out anew in every replicate, in one query."""
-    numbered = allocation.withColumn("at", F.row_number().over(Window.orderBy("i")))
+    numbered = global_rank(allocation, [F.col("i")], "at").withColumn("at", F.col("at") + 1)
     many = numbered.select("i", "at", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     shuffled = many.withColumn("at", F.row_number().over(Window.partitionBy("replicate").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "i")), "i")))
     return shuffled.join(numbered.select("at", "n"), "at").select("replicate", "i", "n")

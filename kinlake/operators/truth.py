@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinlake.functions.text import clean
 from kinlake.operators.blocking import pairs_within
 from kinlake.operators.components import connected_components
+from kinlake.operators.ordering import global_rank, running_total
 
 
 SEED = 42
@@ -22,7 +22,7 @@ def shuffled(seed: int, c: str) -> Column:
 def compact(labels: DataFrame, label: str = "label", rid: str = "rid") -> DataFrame:
     """Labels renumbered from 0 in the order of their first record."""
     firsts = labels.groupBy(label).agg(F.min(rid).alias("__first"))
-    numbered = firsts.withColumn("__new", (F.row_number().over(Window.orderBy("__first")) - 1).cast("long"))
+    numbered = global_rank(firsts, [F.col("__first")], "__new")
     return labels.join(numbered, labels[label].eqNullSafe(numbered[label])).select(labels[rid], F.col("__new").alias(label))
 
 
@@ -68,25 +68,24 @@ def entity_split(truth: DataFrame, column: str = "truth", share: float = 0.7, se
     others ``test``; with fewer than ``least`` entities all are ``both``."""
     entities = truth.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("size"))
     total = entities.count()
-    rank = F.row_number().over(Window.orderBy(shuffled(seed, column), column))
-    part = F.when(rank <= int(share * total), "train").otherwise("test") if total >= least else F.lit("both")
-    return entities.withColumn("part", part).select(column, "size", "part")
+    if total < least:
+        return entities.withColumn("part", F.lit("both")).select(column, "size", "part")
+    ranked = global_rank(entities, [shuffled(seed, column), F.col(column)], "__rank")
+    return ranked.withColumn("part", F.when(F.col("__rank") < int(share * total), "train").otherwise("test")).select(column, "size", "part")
 
 
 def record_split(truth: DataFrame, column: str = "truth", share: float = 0.7, seed: int = SEED) -> DataFrame:
     """As :func:`entity_split`, but whole entities are taken until ``share`` of the records is reached."""
     entities = truth.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("size"))
-    order = Window.orderBy(shuffled(seed, column), column).rowsBetween(Window.unboundedPreceding, -1)
     total = truth.where(F.col(column).isNotNull()).count()
-    before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    return entities.withColumn("part", F.when(before < share * total, "train").otherwise("test")).select(column, "size", "part")
+    taken = running_total(entities, [shuffled(seed, column), F.col(column)], F.col("size"), "__taken")
+    return taken.withColumn("part", F.when(F.col("__taken") < share * total, "train").otherwise("test")).select(column, "size", "part")
 
 
 def cluster_sample(truth: DataFrame, target: int, column: str = "truth", seed: int = SEED) -> DataFrame:
     """Records of whole entities, in hashed order until ``target`` records are reached."""
     sizes = truth.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__size"))
-    order = Window.orderBy(shuffled(seed, column), column).rowsBetween(Window.unboundedPreceding, -1)
-    kept = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0))).where(F.col("__before") < target).select(column)
+    kept = running_total(sizes, [shuffled(seed, column), F.col(column)], F.col("__size"), "__taken").where(F.col("__taken") < target).select(column)
     return truth.join(kept, column, "left_semi")
 
 

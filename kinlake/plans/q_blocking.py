@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlake.functions import text as T
 from kinlake.operators import blocking as B
+from kinlake.operators.ordering import global_rank
 from kinlake.operators.truth import gold_pairs
 from kinlake.plans.entries import query
 from kinlake.plans.pipeline import Config, plan
@@ -49,7 +50,7 @@ SELECT w, pairs FROM n ORDER BY abs(pairs - 5000), w LIMIT 1"""
 )
 def sorted_window_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """The window whose number of pairs comes closest to 5,000."""
-    ranked = B.global_rank(parts(spark, sf).select("rid", T.alnum_text("p_type").alias("key")), [F.col("key"), F.col("rid")])
+    ranked = global_rank(parts(spark, sf).select("rid", T.alnum_text("p_type").alias("key")), [F.col("key"), F.col("rid")])
     n = ranked.count()
     grid = ranked.select("rank", F.explode(F.array(*(F.lit(w) for w in (3, 5, 10, 20, 40, 80, 120)))).alias("w"))
     counts = grid.groupBy("w").agg(F.sum(F.greatest(F.lit(0), F.least(F.col("w") - 1, n - 1 - F.col("rank")))).cast("long").alias("pairs"))
