@@ -145,3 +145,24 @@ def merge_runs(known: DataFrame, imported: DataFrame, run_id: str = "id", time:
     """Known runs and the imported ones with new ids and a time, newest first."""
     new = imported.where(F.col(run_id).isNotNull() & F.col(time).isNotNull()).join(known.select(run_id), run_id, "left_anti")
     return known.unionByName(new).orderBy(F.desc(time), run_id)
+
+
+def edit_runs(runs: DataFrame, drop: list | None = None, rename: dict | None = None, keep: list | None = None, run_id: str = "id", title: str = "name") -> DataFrame:
+    """Runs without the dropped ids, restricted to the kept ones if given, with new names for some."""
+    out = runs if not drop else runs.where(~F.col(run_id).isin(drop))
+    out = out if keep is None else out.where(F.col(run_id).isin(keep))
+    name = F.col(title)
+    for key, new in (rename or {}).items():
+        name = F.when(F.col(run_id) == key, F.lit(new)).otherwise(name)
+    return out.withColumn(title, name)
+
+
+def export_runs(runs: DataFrame, path: str) -> None:
+    """One JSON document per run."""
+    runs.write.mode("overwrite").json(path)
+
+
+def by_number(items: DataFrame, number: str, asked: str) -> DataFrame:
+    """Items whose number is made of the digits in ``asked``; none when it has no digit."""
+    digits = "".join(c for c in asked if c.isascii() and c.isdigit())
+    return items.where(F.col(number) == int(digits)) if digits else items.limit(0)

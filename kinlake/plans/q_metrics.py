@@ -112,3 +112,16 @@ def run_import(spark: SparkSession, sf: str) -> DataFrame:
     runs = _runs(spark, sf).withColumn("id", F.date_format("ts", "yyyy-MM"))
     merged = metrics.merge_runs(runs.where(F.month("ts") <= 6), runs.where(F.month("ts") >= 5))
     return merged.select(F.col("id").alias("month"), "pairs")
+
+
+@query(f"WITH {RUNS} SELECT strftime(ts, '%Y-%m') AS id, CASE WHEN strftime(ts, '%Y-%m') = '1995-03' THEN 'renamed' ELSE method END AS name, pairs FROM r WHERE strftime(ts, '%Y-%m') <> '1995-01' AND year(ts) = 1995")
+def run_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of 1995 without one, another renamed."""
+    runs = _runs(spark, sf).select(F.date_format("ts", "yyyy-MM").alias("id"), F.col("method").alias("name"), "pairs")
+    months = [f"1995-{m:02}" for m in range(1, 13)]
+    return metrics.edit_runs(runs, drop=["1995-01"], rename={"1995-03": "renamed"}, keep=months)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 17")
+def jump_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.by_number(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "no. 17")
