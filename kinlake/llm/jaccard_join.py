@@ -9,17 +9,17 @@ equal sets are one set from the start.
    filter).  Prefixes are exchanged packed into buckets; each bucket gives the lists of
    sets that share a token, equal lists once.
 3. Sets that share lists are partitioned into groups (by the smallest set that leads
-   one of their lists); large groups are cut into blocks that all hold the leader.
-   Inside a block every link is found from one token matrix.
-4. What is left are lists that hold several components.  For each, a query set goes to
-   each other component: the component's token union bounds the overlap that any
-   member can have, and only where the bound reaches the threshold are its members
-   opened and compared.
+   one of their lists), large groups into chunks that meet two by two.  Sets whose
+   bitmaps of hashed tokens bound all overlaps there below the threshold drop out.  For
+   the rest every link is found from one token matrix, and a spanning forest is kept.
+4. What is left are lists that hold several components and leads.  Query sets meet the
+   other components' rows of the matrix: a bitmap of the token union bounds the overlap
+   that any member can have, and only where the bound reaches the threshold are the
+   members opened.  Members whose own bound reaches it are compared.
 5. Links are joined into components.
 
-No pairs of copies or of members already joined are made, nothing that grows with the
-corpus is collected, and a group in one task holds at most ``BLOCK_TOKENS`` tokens and
-one set.
+No pairs of copies or of a group are made, nothing that grows with the corpus is
+collected, and a task holds about twice ``BLOCK_TOKENS`` tokens, or two sets, at once.
 
 Edge cases: a null, empty or blank text has an empty set, links with nothing and is its
 own component; a text of fewer than five words is one shingle; equal rows share their
@@ -41,15 +41,18 @@ from pyspark.sql.window import Window
 
 from kinlake.llm.shingles import mix, set_ids, shingle_sets
 from kinlake.operators.components import connected_components
-from kinlake.session import drop_matching, stash, table
+from kinlake.session import drop_matching, small_batches, stash, table, trimmed
 
 SKETCH_BITS = 20
 SLICES = 16
 FILTER_BITS = 23
-PIECE_BYTES = 2 << 20
+BROADCAST_IDS = 2_000_000
+PIECE_BYTES = 1 << 20
 BUCKET_POSTINGS = 1_000_000
-FLUSH_POSTINGS = 1_000_000
-BLOCK_TOKENS = 150_000
+FLUSH_POSTINGS = 500_000
+BLOCK_TOKENS = 100_000
+CHUNK = 256
+MATRIX_COLUMNS = 4096
 
 
 def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
@@ -67,9 +70,30 @@ def needed(n: np.ndarray) -> np.ndarray:
     return -(-3 * n // 4)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Hashed positions of a set's tokens, in 4 to 8 bits for each; lengths are powers of two, so that maps can be folded."""
+    if not len(tokens):
+        return b""
+    size = max(64, 4 << int(len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[((tokens >> np.uint64(13)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0) if len(bits) > length else bits
+
+
+def overlap_bound(n: int, query: np.ndarray, other: np.ndarray) -> int:
+    """At least the overlap of a set of ``n`` tokens with any set within ``other``, from their bitmaps."""
+    length = min(len(query), len(other))
+    query = _folded(query, length)
+    return n - int(np.bitwise_count(query).sum()) + int(np.bitwise_count(query & _folded(other, length)).sum())
+
+
 def scan(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n, set_id)`` for each document, and counter slices ``(slice, counts)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """``(doc_id, n, set_id, bitmap)`` for each document, and counter slices ``(slice, counts)``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("bitmap", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -78,13 +102,13 @@ def scan(documents: DataFrame) -> DataFrame:
                 h, at = shingle_sets(batch.column("text").slice(lo, hi - lo))
                 counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 none = pa.nulls(hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(set_ids(h, at)), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(set_ids(h, at)), pa.array([bitmap(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
             blobs = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, SLICES)]
             nulls = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, n long, set_id long, slice int, counts binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(read), "doc_id long, n long, set_id long, bitmap binary, slice int, counts binary")
 
 
 def counters(scanned: DataFrame) -> np.ndarray:
@@ -101,7 +125,7 @@ def counters(scanned: DataFrame) -> np.ndarray:
 
     parts = scanned.where("slice IS NOT NULL").select("slice", "counts", (F.spark_partition_id() % 8).alias("salt"))
     for keys in (["slice", "salt"], ["slice"]):
-        parts = parts.repartition(*keys).mapInArrow(add, "slice int, counts binary").withColumn("salt", F.lit(0))
+        parts = parts.repartition(*keys).mapInArrow(trimmed(add), "slice int, counts binary").withColumn("salt", F.lit(0))
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     step = len(out) // SLICES
     for row in parts.select("slice", "counts").collect():
@@ -117,18 +141,19 @@ def _ordered(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def prefix_postings(documents: DataFrame, counts, buckets: int) -> DataFrame:
     """Prefix tokens of every set, packed: one row for each bucket and some texts."""
-    schema = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("place", pa.binary()), ("sets", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("place", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        m, sets = mix(np.concatenate([k for k, _ in held])), np.concatenate([s for _, s in held])
+    def flush(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        ids, sizes = (np.array(x, dtype=np.int64) for x in list(zip(*held, strict=True))[1:])
+        m, row = mix(np.concatenate([k for k, _, _ in held])), np.repeat(np.arange(len(held)), [len(k) for k, _, _ in held])
         bucket, token = (m % np.uint64(buckets)).astype(np.int32), (m >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
-        bucket, token, sets = bucket[order], token[order], sets[order]
+        bucket, token, row = bucket[order], token[order], row[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         rows = []
         for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
-            own, place = np.unique(sets[a:b], return_inverse=True)
-            rows.append((int(bucket[a]), token[a:b].tobytes(), place.astype(np.uint32).tobytes(), own.tobytes()))
+            own, place = np.unique(row[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), token[a:b].tobytes(), place.astype(np.uint32).tobytes(), ids[own].tobytes(), sizes[own].astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +170,7 @@ def prefix_postings(documents: DataFrame, counts, buckets: int) -> DataFrame:
                     seen.add(i)
                     part = keys[at[k] : at[k + 1]]
                     part = np.partition(part, take[k] - 1)[: take[k]] if take[k] < len(part) else part
-                    held.append((part, np.full(len(part), i, dtype=np.int64)))
+                    held.append((part, i, int(n[k])))
                     size += len(part)
                 if size >= FLUSH_POSTINGS:
                     yield flush(held)
@@ -153,7 +178,7 @@ def prefix_postings(documents: DataFrame, counts, buckets: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return documents.select("text").mapInArrow(read, "bucket int, token binary, place binary, sets binary")
+    return documents.select("text").mapInArrow(trimmed(read), "bucket int, token binary, place binary, sets binary, sizes binary")
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
@@ -162,13 +187,15 @@ def shared_lists(postings: DataFrame) -> DataFrame:
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["token"]])
-        sets = np.concatenate([np.frombuffer(s.as_buffer(), np.int64)[np.frombuffer(p.as_buffer(), np.uint32)] for p, s in zip(rows["place"], rows["sets"], strict=True)])
-        order = np.lexsort((sets, token))
-        token, sets = token[order], sets[order]
+        sets, n = (np.concatenate([np.frombuffer(s.as_buffer(), t)[np.frombuffer(p.as_buffer(), np.uint32)] for p, s in zip(rows["place"], rows[c], strict=True)]) for c, t in (("sets", np.int64), ("sizes", np.uint32)))
+        n = n.astype(np.int64)
+        order = np.lexsort((sets, n, token))
+        token, sets, n = token[order], sets[order], n[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])
-        token, sets = token[new], sets[new]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        token, sets, n = token[new], sets[new], n[new]
+        # a list ends with its token, and where the next set is too large for any before it
+        start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (4 * n[:-1] < 3 * n[1:])])
         size = np.diff(np.r_[start, len(token)])
         with np.errstate(over="ignore"):
             total = np.zeros(len(sets) + 1, dtype=np.uint64)
@@ -178,13 +205,15 @@ def shared_lists(postings: DataFrame) -> DataFrame:
         name, first = np.unique(name, return_index=True)
         start, size = start[first], size[first]
         at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-        return pa.table([np.repeat(name, size), sets[at], np.repeat(sets[start], size)], schema=schema)
+        members = sets[at]
+        lead = np.minimum.reduceat(members, np.r_[0, np.cumsum(size)[:-1]]) if len(size) else members
+        return pa.table([np.repeat(name, size), members, np.repeat(lead, size)], schema=schema)
 
     found = postings.groupBy("bucket").applyInArrow(gather, "list_id long, set_id long, lead long")
     return found.groupBy("list_id", "set_id").agg(F.min("lead").alias("lead"))
 
 
-def member_filter(members: DataFrame) -> np.ndarray:
+def _member_filter(members: DataFrame) -> np.ndarray:
     """A bit set of ``2**FILTER_BITS`` hashed ids, made on the executors; it may let others through."""
     place = F.pmod(F.col("set_id"), F.lit(1 << FILTER_BITS))
     words = members.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
@@ -194,24 +223,48 @@ def member_filter(members: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def tokens_of(documents: DataFrame, bits) -> DataFrame:
-    """``(set_id, tokens)`` of texts whose set passes the filter, once for each task at least."""
-    schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.binary())])
+def tokens_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted(set_id, a, b)`` with the sets' ``tokens``; a set may come once for each task that reads it.
+
+    Up to ``BROADCAST_IDS`` rows are looked up while texts are read, so tokens are
+    moved once, to where they are used.  Beyond that a fixed bit set keeps out most
+    other texts and the rest is a join.
+    """
+    small = wanted.count() <= BROADCAST_IDS
+    table_of = wanted.toArrow() if small else None
+    if small:
+        ids, a, b = (table_of[c].to_numpy() for c in ("set_id", "a", "b"))
+        order = np.argsort(ids, kind="stable")
+        shared = documents.sparkSession.sparkContext.broadcast((ids[order], a[order], b[order]))
+    else:
+        shared = documents.sparkSession.sparkContext.broadcast(_member_filter(wanted))
+    schema = pa.schema([("set_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, seen = bits.value, set()
+        seen: set[int] = set()
         for batch in batches:
             for lo, hi in pieces(batch.column("text")):
                 h, at = shingle_sets(batch.column("text").slice(lo, hi - lo))
                 ids = set_ids(h, at)
-                p = np.mod(ids, 1 << FILTER_BITS)
-                want = (have[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
-                ks = [k for k in np.flatnonzero((want > 0) & (np.diff(at) > 0)) if int(ids[k]) not in seen]
-                seen.update(int(ids[k]) for k in ks)
-                if ks:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[ks]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in ks], pa.binary())], schema=schema)
+                if small:
+                    known, a, b = shared.value
+                    first, last = np.searchsorted(known, ids), np.searchsorted(known, ids, side="right")
+                    want = last > first
+                else:
+                    p = np.mod(ids, 1 << FILTER_BITS)
+                    want = ((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)) > 0
+                rows = []
+                for k in np.flatnonzero(want & (np.diff(at) > 0)):
+                    if (i := int(ids[k])) in seen:
+                        continue
+                    seen.add(i)
+                    tokens = h[at[k] : at[k + 1]].tobytes()
+                    rows += [(i, int(a[r]), int(b[r]), tokens) for r in range(first[k], last[k])] if small else [(i, None, None, tokens)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return documents.select("text").mapInArrow(read, "set_id long, tokens binary")
+    found = documents.select("text").mapInArrow(trimmed(read), "set_id long, a long, b long, tokens binary")
+    return found if small else found.select("set_id", "tokens").join(wanted, "set_id").select("set_id", "a", "b", "tokens")
 
 
 def _overlaps(query: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -220,144 +273,267 @@ def _overlaps(query: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarr
     return np.add.reduceat((query[place] == tokens).astype(np.int64), at[:-1])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[int, np.ndarray]]]:
-    """Consecutive rows with equal keys of a sorted stream: the keys, and tokens by set."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], value: str, kind: type) -> Iterator[tuple[tuple, dict[int, tuple[int, np.ndarray]]]]:
+    """Consecutive rows with equal keys of a sorted stream: the keys, and by set its chunk and an array."""
     now: tuple | None = None
-    sets: dict[int, np.ndarray] = {}
+    sets: dict[int, tuple[int, np.ndarray]] = {}
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in keys]
-        for row, i, tokens in zip(zip(*columns, strict=True), batch.column("set_id").to_pylist(), batch.column("tokens"), strict=True):
+        for row, i, chunk, blob in zip(zip(*columns, strict=True), batch.column("set_id").to_pylist(), batch.column("chunk").to_pylist(), batch.column(value), strict=True):
             if row != now:
                 if now is not None:
                     yield now, sets
                 now, sets = row, {}
-            sets[i] = np.frombuffer(tokens.as_buffer(), np.uint64)
+            sets[i] = (chunk, np.frombuffer(blob.as_buffer(), kind))
     if now is not None:
         yield now, sets
 
 
-def block_components(members: DataFrame) -> DataFrame:
-    """Links inside blocks of ``(lead, block, set_id, tokens)``; gives ``(set_id, comp, n, tokens)``.
+def _shared_tokens(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right (with ``None``: with each other)."""
+    both = left + (right or [])
+    owner = np.repeat(np.arange(len(both)), [len(a) for a in both])
+    _, token, seen = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    often = seen > 1
+    number = np.cumsum(often) - 1
+    keep = often[token]
+    owner, token = owner[keep], number[token[keep]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    m = len(left)
+    out = np.zeros((m, len(right) if right else m), dtype=np.float32)
+    for low in range(0, int(often.sum()), MATRIX_COLUMNS):
+        a, b = np.searchsorted(token, [low, low + MATRIX_COLUMNS])
+        dense = np.zeros((len(both), MATRIX_COLUMNS), dtype=np.float32)
+        dense[owner[a:b], token[a:b] - low] = 1
+        out += dense[:m] @ (dense[m:] if right else dense).T
+    return out.astype(np.int64)
+
+
+def _components(linked: np.ndarray) -> np.ndarray:
+    """The first member of each node's component, from a symmetric matrix."""
+    comp = np.full(len(linked), -1)
+    for first in range(len(linked)):
+        if comp[first] < 0:
+            front = np.array([first])
+            while len(front):
+                comp[front] = first
+                front = np.flatnonzero(linked[front].any(0) & (comp < 0))
+    return comp
+
+
+def _may_link(sizes: np.ndarray, chunk: np.ndarray, maps: list[np.ndarray], apart: bool) -> np.ndarray:
+    """Which sets have another (of the other chunk, when ``apart``) whose bound reaches the threshold."""
+    out = np.zeros(len(maps), dtype=bool)
+    lengths = np.array([len(m) for m in maps])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        rows = np.stack([maps[k] for k in at])
+        for i in np.flatnonzero((lengths == length) | (lengths == 2 * length)):
+            bound = _bounds(int(sizes[i]), maps[i], rows)
+            hit = (7 * bound >= 3 * (sizes[i] + sizes[at])) & (4 * np.minimum(sizes[i], sizes[at]) >= 3 * np.maximum(sizes[i], sizes[at])) & (at != i)
+            if apart:
+                hit &= chunk[at] != chunk[i]
+            if hit.any():
+                out[i] = True
+                out[at[hit]] = True
+    return out
+
+
+def worth_opening(members: DataFrame) -> DataFrame:
+    """``(set_id, a, b)`` of the sets of ``(set_id, a, b, n, bitmap)`` that may link inside their block."""
+    schema = pa.schema([("set_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def found() -> pa.RecordBatch:
+            keep = []
+            if len(held) > 1:
+                ids, n, maps = {}, [], []
+                for i, size, b, bits in held:
+                    if i not in ids:
+                        ids[i] = (len(n), b)
+                        n.append(size)
+                        maps.append(bits)
+                chunk = np.array([b & 0xFFFFF for _, b in ids.values()])
+                may = _may_link(np.array(n), chunk, maps, now[1] >> 20 != now[1] & 0xFFFFF)
+                keep = [(i, now[0], b) for i, (k, b) in ids.items() if may[k]]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], pa.int64()) for k in range(3)], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a", "tile", "set_id", "n", "b")]
+            for a, tile, i, n, b, bits in zip(*columns, batch.column("bitmap"), strict=True):
+                if (a, tile) != now:
+                    yield found()
+                    now, held = (a, tile), []
+                held.append((i, n, b, np.frombuffer(bits.as_buffer(), np.uint8)))
+        yield found()
+
+    tiled = members.withColumn("tile", F.shiftright("b", 20))
+    return tiled.repartition("a", "tile").sortWithinPartitions("a", "tile").mapInArrow(trimmed(look), "set_id long, a long, b long")
+
+
+def block_links(members: DataFrame) -> DataFrame:
+    """A spanning forest ``(src, dst)`` of the links inside blocks of ``(a, b, set_id, tokens)``.
 
-    ``comp`` is the lead where a set is joined to it, else the smallest set joined.
+    ``a`` is a group's lead; ``b`` holds two chunks of it, that meet here, and the set's own.
     """
-    schema = pa.schema([("set_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        for (lead, block), sets in _groups(batches, ["lead", "block"]):
-            ids = sorted(sets, key=lambda i: (i != lead, i))
-            arrays = [sets[i] for i in ids]
-            n = np.array([len(a) for a in arrays])
-            at = np.r_[0, np.cumsum(n)]
-            tokens = np.concatenate(arrays)
-            comp = np.full(len(ids), -1)
-            for first in range(len(ids)):
-                if comp[first] >= 0:
-                    continue
-                comp[first], todo = first, [first]
-                while todo:  # opens the component of `first`; each set is compared once with those not yet joined
-                    k = todo.pop()
-                    rest = np.flatnonzero(comp < 0)
-                    if not len(rest):
-                        break
-                    if len(rest) < len(ids) // 2:
-                        cut = np.r_[0, np.cumsum(n[rest])]
-                        shared = _overlaps(arrays[k], np.concatenate([arrays[r] for r in rest]), cut)
-                    else:
-                        shared = _overlaps(arrays[k], tokens, at)[rest]
-                    linked = rest[100 * shared >= 75 * (n[k] + n[rest] - shared)]
-                    comp[linked] = first
-                    todo += linked.tolist()
-            for k, i in enumerate(ids):
-                if i != lead or block == 0:
-                    out.append((i, ids[comp[k]], int(n[k]), arrays[k].tobytes()))
-                    size += 8 * int(n[k])
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return members.repartition("lead", "block").sortWithinPartitions("lead", "block").mapInArrow(solve, "set_id long, comp long, n long, tokens binary")
-
-
-def token_groups(members: DataFrame) -> DataFrame:
-    """The matrix's rows, from ``(comp, part, set_id, tokens)``: members, their tokens end to end, and the union."""
-    schema = pa.schema([("comp", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("members", pa.binary()), ("union", pa.binary())])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (comp, _), sets in _groups(batches, ["comp", "part"]):
-            arrays = list(sets.values())
-            flat = np.concatenate(arrays)
-            union = np.unique(flat).tobytes() if len(arrays) > 1 else b""  # one set is its own union
-            yield pa.RecordBatch.from_pylist([{"comp": comp, "ids": np.array(list(sets), np.int64).tobytes(), "sizes": np.array([len(a) for a in arrays], np.int64).tobytes(), "members": flat.tobytes(), "union": union}], schema)
-
-    return members.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(build, "comp long, ids binary, sizes binary, members binary, union binary")
-
-
-def open_groups(queries: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` from rows of a query set beside a group of the matrix."""
+        for (_, block), sets in _groups(batches, ["a", "tile"], "tokens", np.uint64):
+            p, q = block >> 20, block & 0xFFFFF
+            ids = sorted(sets, key=lambda i: (sets[i][0], i))
+            arrays, chunk = [sets[i][1] for i in ids], [sets[i][0] for i in ids]
+            n = np.array([len(x) for x in arrays])
+            m = sum(c == p for c in chunk)
+            if len(ids) < 2 or (p < q and (m == 0 or m == len(ids))):
+                continue
+            linked = np.zeros((len(ids), len(ids)), dtype=bool)
+            if p == q:
+                shared = _shared_tokens(arrays, None)
+                linked = 100 * shared >= 75 * (n[:, None] + n[None, :] - shared)
+            else:
+                shared = _shared_tokens(arrays[:m], arrays[m:])
+                linked[:m, m:] = 100 * shared >= 75 * (n[:m, None] + n[None, m:] - shared)
+                linked[m:, :m] = linked[:m, m:].T
+            found = [(ids[k], ids[c]) for k, c in enumerate(_components(linked).tolist()) if c != k]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    tiled = members.withColumns({"tile": F.shiftright("b", 20), "chunk": F.col("b").bitwiseAND(F.lit((1 << 20) - 1))})
+    return tiled.repartition("a", "tile").sortWithinPartitions("a", "tile").select("a", "tile", "chunk", "set_id", "tokens").mapInArrow(trimmed(solve), "src long, dst long")
+
+
+def _bounds(n: int, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """:func:`overlap_bound` of a query against bitmaps of one length, at most as long as its own."""
+    query = _folded(query, rows.shape[1])
+    return n - int(np.bitwise_count(query).sum()) + np.bitwise_count(rows & query).sum(1, dtype=np.int64)
+
+
+def open_groups(tile: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Pairs of sets of a tile, of different groups, whose overlap may reach the threshold.
+
+    A tile has ``(set_id, comp, lead, n, bitmap)``.  Its rows of the token-group matrix are
+    the token unions of groups (sets of one component and lead): a query is held against
+    those, and the members of a group are opened only where the bound lets one of them
+    link.  Sets of one lead have met before.
+    """
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (_, comp, lead, _, _) in enumerate(tile):
+        groups.setdefault((lead, comp), []).append(k)
+    if len({lead for lead, _ in groups}) < 2:
+        return []
+    by_length: dict[int, tuple[list[tuple[int, int]], list[np.ndarray]]] = {}
+    for name, members in groups.items():
+        length = min(len(tile[k][4]) for k in members)
+        names, rows = by_length.setdefault(length, ([], []))
+        names.append(name)
+        rows.append(np.bitwise_or.reduce([_folded(tile[k][4], length) for k in members], axis=0))
+    matrix = [(length, np.array(names), np.stack(rows)) for length, (names, rows) in by_length.items()]
+    out = []
+    for i, comp, lead, n, bits in tile:
+        for length, names, rows in matrix:
+            others = np.flatnonzero((names[:, 0] > lead) & (names[:, 1] != comp))
+            if length > 2 * len(bits) or not len(others):
+                continue  # all its sets are too large, or have met this one
+            rows = rows[others]
+            bound = _bounds(n, bits, rows) if length <= len(bits) else np.array([overlap_bound(n, bits, r) for r in rows])
+            for k in (k for name in names[others[bound >= needed(n)]] for k in groups[int(name[0]), int(name[1])]):
+                j, _, their_lead, m, theirs = tile[k]
+                if i != their_lead and j != lead and 4 * min(n, m) >= 3 * max(n, m) and 7 * overlap_bound(n, bits, theirs) >= 3 * (n + m):
+                    out.append((i, j))
+    return out
+
+
+def open_lists(rows: DataFrame) -> DataFrame:
+    """``(src, dst)`` worth comparing, from ``(list_id, set_id, comp, lead, n, bitmap)``; lists above
+    ``CHUNK`` sets are met chunk by chunk."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    sizes = rows.groupBy("list_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    placed = rows.join(sizes, "list_id").withColumn("c", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
+    tiles = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("list_id", F.least("c", "x").alias("p"), F.greatest("c", "x").alias("q"), "set_id", "comp", "lead", "n", "bitmap")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile, seen = None, [], set()
+
+        def found() -> pa.RecordBatch:
+            new = [pair for pair in open_groups(tile) if pair not in seen]
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], schema=schema)
+
         for batch in batches:
-            src, dst = [], []
-            columns = [batch.column(k) for k in ("set_id", "tokens", "ids", "sizes", "members", "union")]
-            for i, *blobs in zip(*columns, strict=True):
-                query, ids, sizes, members, union = (np.frombuffer(b.as_buffer(), t) for b, t in zip(blobs, (np.uint64, np.int64, np.int64, np.uint64, np.uint64), strict=True))
-                q, whole = len(query), union if len(union) else members
-                fit = (4 * np.minimum(q, sizes) >= 3 * np.maximum(q, sizes)).any()
-                if not fit or _overlaps(query, whole, np.array([0, len(whole)]))[0] < needed(q):
-                    continue  # no member can reach the threshold
-                shared = _overlaps(query, members, np.r_[0, np.cumsum(sizes)])
-                found = ids[100 * shared >= 75 * (q + sizes - shared)]
-                src += [i.as_py()] * len(found)
-                dst += found.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
-
-    return queries.select("set_id", "tokens", "ids", "sizes", "members", "union").mapInArrow(look, "src long, dst long")
+            columns = [batch.column(c).to_pylist() for c in ("list_id", "p", "q", "set_id", "comp", "lead", "n")]
+            for *key, i, comp, lead, n, bits in zip(*columns, batch.column("bitmap"), strict=True):
+                if key != now:
+                    yield found()
+                    now, tile = key, []
+                tile.append((i, comp, lead, n, np.frombuffer(bits.as_buffer(), np.uint8)))
+        yield found()
+
+    keys = ["list_id", "p", "q"]
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(look), "src long, dst long").distinct()
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """The linked ones of ``(src, dst, tokens_a, tokens_b)``."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                shared = int(_overlaps(x, y, np.array([0, len(y)]))[0])
+                keep.append(100 * shared >= 75 * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("src").filter(pa.array(keep, pa.bool_())), batch.column("dst").filter(pa.array(keep, pa.bool_()))], schema=schema)
+
+    return pairs.mapInArrow(trimmed(check), "src long, dst long")
 
 
 def ngram_jaccard_components(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``documents(doc_id, text)``."""
     spark = documents.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     scanned = stash(scan(documents), "jaccard-scan")
-    docs = scanned.where("slice IS NULL").select("doc_id", "n", "set_id")
+    docs = scanned.where("slice IS NULL").select("doc_id", "n", "set_id", "bitmap")
     total = scanned.agg(F.sum("n").alias("n")).first()["n"] or 0
     counts = sc.broadcast(counters(scanned))
     buckets = max(64, -(-total // (4 * BUCKET_POSTINGS)))
     lists = stash(shared_lists(prefix_postings(documents, counts, buckets)), "jaccard-lists")
 
     # groups: each set goes to the smallest lead among its lists; blocks of a group all hold the lead
-    sizes = docs.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"))
-    lead = stash(lists.groupBy("set_id").agg(F.min("lead").alias("lead")).join(sizes, "set_id"), "jaccard-leads")
-    blocks = lead.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    bits = sc.broadcast(member_filter(lead))
-    placed = lead.where("set_id != lead").join(blocks, "lead").select("set_id", "lead", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"))
-    leads = blocks.select(F.col("lead").alias("set_id"), "lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    once = tokens_of(documents, bits).groupBy("set_id").agg(F.first("tokens").alias("tokens"))
-    solved = stash(block_components(once.join(placed.unionByName(leads), "set_id")), "jaccard-blocks")
-
-    # lists that still hold several components
-    known = solved.select("set_id", "comp")
-    rows = lists.join(known, "set_id").select("list_id", "set_id", "comp")
-    several = rows.groupBy("list_id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("list_id")
+    sets = docs.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("first"))
+    lead = stash(lists.groupBy("set_id").agg(F.min("lead").alias("lead")).join(sets.drop("first"), "set_id"), "jaccard-leads")
+    members = lead.select("set_id", "lead").unionByName(lead.select(F.col("lead").alias("set_id"), "lead")).distinct()
+    chunks = lead.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("chunks"))
+    placed = members.join(chunks, "lead").withColumn("c", F.pmod(F.xxhash64("set_id"), "chunks")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    both = F.shiftleft(F.least("c", "x"), 40).bitwiseOR(F.shiftleft(F.greatest("c", "x"), 20)).bitwiseOR(F.col("c"))
+    placed = placed.select("set_id", F.col("lead").alias("a"), both.alias("b")).join(lead.select("set_id", "n", "bitmap"), "set_id")
+    inside = stash(block_links(tokens_of(documents, stash(worth_opening(placed), "jaccard-placed"))), "jaccard-inside")
+    near = connected_components(inside)
+    solved = stash(lead.join(near, F.col("set_id") == F.col("node"), "left").select("set_id", "lead", F.coalesce("component", "set_id").alias("comp")), "jaccard-solved")
+
+    # lists that still hold several components, of sets that haven't met
+    rows = lists.select("list_id", "set_id").join(solved, "set_id")
+    several = rows.groupBy("list_id").agg(*(f(c).alias(n) for n, f, c in (("a", F.min, "comp"), ("b", F.max, "comp"), ("c", F.min, "lead"), ("d", F.max, "lead")))).where("a != b AND c != d").select("list_id")
     rows = stash(rows.join(several, "list_id"), "jaccard-rows")
-    others = rows.select("list_id", F.col("comp").alias("other")).distinct()
-    asked = rows.join(others, "list_id").where("comp < other").select("set_id", F.col("other").alias("comp")).distinct()
-    asked = stash(asked, "jaccard-asked")
-    wanted = solved.join(asked.select("comp").distinct(), "comp")
-    parts = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
-    matrix = token_groups(wanted.join(parts, "comp").select("comp", F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("part"), "set_id", "tokens"))
-    queries = asked.join(solved.select("set_id", "tokens"), "set_id").join(matrix, "comp")
-    links = open_groups(queries)
-
-    joined = solved.where("set_id != comp").select(F.col("set_id").alias("src"), F.col("comp").alias("dst")).unionByName(links)
+    pairs = stash(open_lists(rows.join(lead.select("set_id", "n", "bitmap"), "set_id")), "jaccard-pairs")
+
+    # those that pass the bound are compared
+    ends = stash(pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct().select("set_id", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), "jaccard-ends")
+    tokens = tokens_of(documents, ends).groupBy("set_id").agg(F.first("tokens").alias("tokens"))
+    links = verified(
+        pairs.join(tokens.select(F.col("set_id").alias("src"), F.col("tokens").alias("tokens_a")), "src").join(tokens.select(F.col("set_id").alias("dst"), F.col("tokens").alias("tokens_b")), "dst")
+    )
+
+    joined = solved.where("set_id != comp").select(F.col("set_id").alias("src"), F.col("comp").alias("dst")).unionByName(inside).unionByName(links)
     roots = connected_components(joined)
-    sets = docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    rooted = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "first", F.coalesce("component", "set_id").alias("root"))
+    rooted = sets.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_set = rooted.join(named, "root").select(F.col("set_id").alias("__set"), "component_id")
     return docs.join(of_set, (F.col("set_id") == F.col("__set")) & (F.col("n") > 0), "left").select(
