@@ -1,8 +1,8 @@
 """Field similarities and their combination.
 
 Levenshtein and Jaccard are built-in expressions.  Jaro-Winkler has no built-in; it
-runs as an Arrow function, and :func:`score_pairs` gives it distinct value pairs only,
-which a join then hands back to the record pairs.
+runs as an Arrow function.  :func:`score_pairs` gives Jaro-Winkler and Jaccard distinct
+value pairs only, which a join then hands back to the record pairs.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 #: Similarities by name; each takes two cleaned columns and gives NULL when one is NULL.
 SIMILARITIES: dict[str, Callable[[Column, Column], Column]] = {"lv": levenshtein, "jaccard": token_jaccard, "jw": jaro_winkler}
 #: Those worth a table of distinct value pairs.
-MEMOISED = {"jw"}
+MEMOISED = {"jw", "jaccard"}
 
 
 def similarity(method: str, a: Column, b: Column) -> Column:

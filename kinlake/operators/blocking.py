@@ -144,10 +144,12 @@ def minhash(shingles: Column, perms: int = 128) -> Column:
     base = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
     prime = 2**31 - 1
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(base, lambda x: (x * (2 * k + 1) + 7919 * k * k + 104729) % prime))
+    def permuted(digests: Column, k: Column) -> Column:
+        return F.array_min(F.transform(digests, lambda x: (x * (2 * k + 1) + 7919 * k * k + 104729) % prime))
 
-    return F.array(*(least(k) for k in range(perms)))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(perms - 1).cast("long"))
+    # an array of one binds the digests, so that they are made once
+    return F.transform(F.array(base), lambda digests: F.transform(numbers, lambda k: permuted(digests, k)))[0]
 
 
 def lsh_pairs(signatures: DataFrame, bands: int = 16, rows: int = 8, bucket_cap: int = 300) -> DataFrame:
