@@ -7,8 +7,8 @@ numpy reads the whole sequence and labels every block with the context of the wh
 page.  Blocks labelled as article are joined in page order.
 
 The labeller is trained here on generated pages of many layouts (:func:`training_page`),
-with a fixed seed, in a few seconds on the driver; its weights are broadcast
-(under 1 MB whatever the input).
+with a fixed seed, in a few seconds of one task; its weights are broadcast (under 1 MB
+whatever the input).
 
 Edge cases: null, empty and textless html give an empty text; broken markup is read as
 far as it goes (an unclosed tag ends at the end of the page); white space inside a
@@ -362,6 +362,24 @@ def trained(seed: int = SEED) -> dict[str, np.ndarray]:
     return w
 
 
+_weights: dict[int, dict[str, np.ndarray]] = {}
+
+
+def trained_on_an_executor(spark: SparkSession, seed: int = SEED) -> dict[str, np.ndarray]:
+    """:func:`trained` in one task, where numpy keeps to one thread; kept by the driver for later calls."""
+    if seed not in _weights:
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                pass
+            w = trained(seed)
+            yield pa.RecordBatch.from_pylist([{"name": k, "shape": list(v.shape), "raw": v.tobytes()} for k, v in w.items()])
+
+        rows = spark.range(1, numPartitions=1).mapInArrow(train, "name string, shape array<long>, raw binary").collect()
+        _weights[seed] = {r["name"]: np.frombuffer(r["raw"], np.float32).reshape(r["shape"]) for r in rows}
+    return _weights[seed]
+
+
 def extract(pages: list[str | None], weights: dict[str, np.ndarray], words: _Words) -> list[str]:
     """The article text of each page."""
     blocks = [blocks_of(p) if p else [] for p in pages]
@@ -377,7 +395,7 @@ def extract(pages: list[str | None], weights: dict[str, np.ndarray], words: _Wor
 def extract_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``."""
     small_batches(pages.sparkSession)
-    weights = pages.sparkSession.sparkContext.broadcast(trained())
+    weights = pages.sparkSession.sparkContext.broadcast(trained_on_an_executor(pages.sparkSession))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
