@@ -10,7 +10,7 @@ import __spark_entry__
 from kinlake.plans.catalog import ORACLES, QUERIES
 
 #: Queries that take long for what they add here; the larger scale runs them too.
-SLOW = {"minhash_lsh"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
