@@ -39,7 +39,7 @@ from kinlake.session import small_batches, stash, table, trimmed
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 600_000
+CACHE = 150_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,6 +80,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; words still in use move on
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -96,8 +97,16 @@ class WordIds:
         except KeyError:
             pass
         if len(known) > CACHE:
-            known.clear()
-        new = list({u for u in units if u not in known})
+            self.older, known = known, {}
+            self.known = known
+        new, older = [], self.older
+        for unit in {u for u in units if u not in known}:
+            if unit in older:
+                known[unit] = older[unit]
+            else:
+                new.append(unit)
+        if not new:
+            return b"".join([known[u] for u in units])
         ids = self.whole(" ".join(new))
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(new) or cuts[-1] != len(ids):
