@@ -156,7 +156,6 @@ def test_sharding_sizes_and_edges(spark):
     assert len(got) == len(rows)
     check_shards(got, 16)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
-    assert got == sharding.shuffle_into_shards(measured, ["doc_id", "size", "text_crc32"]).collect() or True  # order of rows is free
     again = sharding.shuffle_into_shards(measured, ["doc_id", "size", "text_crc32"]).collect()
     key = lambda r: (str(r["doc_id"]), r["size"], r["text_crc32"], r["shard"], r["slot"])
     assert sorted(map(key, got)) == sorted(map(key, again))  # a task run again deals the same
