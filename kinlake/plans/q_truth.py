@@ -34,9 +34,9 @@ def _copies(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(first, "h").where("doc_id != a").select("a", F.col("doc_id").alias("b"))
 
 
-@query(f"WITH RECURSIVE {COPIES} SELECT doc_id AS rid, truth FROM documents LEFT JOIN m ON doc_id = a")
+@query(f"WITH RECURSIVE {COPIES} SELECT doc_id AS rid, CAST(truth AS VARCHAR) AS truth FROM documents LEFT JOIN m ON doc_id = a")
 def truth_from_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return truth.from_pairs(table(spark, sf, "documents"), _copies(spark, sf), "doc_id")
+    return truth.from_pairs(table(spark, sf, "documents"), _copies(spark, sf), "doc_id").withColumn("truth", F.col("truth").cast("string"))
 
 
 @query(f"WITH RECURSIVE {COPIES} SELECT a AS node, truth AS component FROM m")
