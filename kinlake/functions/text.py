@@ -1,11 +1,14 @@
-"""Column functions on text.  All stay in the JVM; NULL is the missing value."""
+"""Column functions on text.  All but ``strip_html`` stay in the JVM; NULL is the missing value."""
 
 from __future__ import annotations
 
-from functools import reduce
+import html
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NGRAM = 3
 HASH_DIM = 512
@@ -130,13 +133,13 @@ def paper_url(c: Column | str) -> Column:
     )
 
 
-# Character references that pages use most; others are left as they stand.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+@F.arrow_udf(StringType())
+def plain_text(texts: pa.Array) -> pa.Array:
+    """Every character reference decoded (named, decimal, hexadecimal), white space of any script squeezed."""
+    return pa.array([None if t is None else re.sub(r"\s+", " ", html.unescape(t)).strip() for t in texts.to_pylist()], pa.string())
 
 
 def strip_html(c: Column | str) -> Column:
-    """Text without script, style and tags, white space squeezed."""
+    """Text without script, style and tags, character references decoded, white space squeezed."""
     s = F.regexp_replace(col(c), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
-    s = F.regexp_replace(s, "<[^>]+>", " ")
-    s = reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES, s)
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return plain_text(F.regexp_replace(s, "<[^>]+>", " "))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlake.functions import text as T
 from kinlake.plans.entries import query
-from kinlake.session import table
+from kinlake.session import small_batches, table
 
 SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 GRAMS = "CASE WHEN length(s) > 3 THEN list_transform(range(1, length(s) - 1), lambda i: substr(s, i::INT, 3)) WHEN length(s) > 0 THEN [s] ELSE [] END"
@@ -106,8 +106,12 @@ def paper_url(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", T.paper_url(F.concat(n, F.lit("v2"))).alias("bare"), T.paper_url(F.concat(F.lit("arxiv.org/abs/"), n)).alias("abs"), T.paper_url(F.concat(F.lit("https://www.arxiv.org/pdf/"), n, F.lit("v1"))).alias("pdf"), T.paper_url("url").alias("other"))
 
 
+# The character references that the SQL decodes; the query decodes every one.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _sql_entities(s: str) -> str:
-    for a, b in T.ENTITIES:
+    for a, b in ENTITIES:
         s = "replace({}, '{}', '{}')".format(s, a, b.replace("'", "''"))
     return s
 
@@ -117,5 +121,6 @@ STRIPPED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))".format(_sql_entities("re
 
 @query(f"SELECT page_id, length({STRIPPED}) AS n, md5({STRIPPED}) AS text_md5 FROM pages")
 def html_strip(spark: SparkSession, sf: str) -> DataFrame:
+    small_batches(spark)
     text = table(spark, sf, "pages").select("page_id", T.strip_html("html").alias("t"))
     return text.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
