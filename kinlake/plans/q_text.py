@@ -101,9 +101,8 @@ def raw_file_url(spark: SparkSession, sf: str) -> DataFrame:
 SELECT page_id, 'https://ar5iv.org/html/' || n || 'v2' AS bare, 'https://ar5iv.org/html/' || n AS abs, 'https://ar5iv.org/html/' || n AS pdf, CAST(NULL AS VARCHAR) AS other FROM t"""
 )
 def paper_url(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.concat(F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad(F.col("page_id").cast("string"), 5, "0"))
-    pages = table(spark, sf, "pages").where("page_id < 100000")  # five digits at most
-    return pages.select("page_id", T.paper_url(F.concat(n, F.lit("v2"))).alias("bare"), T.paper_url(F.concat(F.lit("arxiv.org/abs/"), n)).alias("abs"), T.paper_url(F.concat(F.lit("https://www.arxiv.org/pdf/"), n, F.lit("v1"))).alias("pdf"), T.paper_url("url").alias("other"))
+    n = F.concat(F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad((F.col("page_id") % 100000).cast("string"), 5, "0"))
+    return table(spark, sf, "pages").select("page_id", T.paper_url(F.concat(n, F.lit("v2"))).alias("bare"), T.paper_url(F.concat(F.lit("arxiv.org/abs/"), n)).alias("abs"), T.paper_url(F.concat(F.lit("https://www.arxiv.org/pdf/"), n, F.lit("v1"))).alias("pdf"), T.paper_url("url").alias("other"))
 
 
 # The character references that the SQL decodes; the query decodes every one.

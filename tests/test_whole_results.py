@@ -6,6 +6,7 @@ import re
 
 from kinlake.functions.text import strip_html
 from kinlake.operators import segment
+from kinlake.plans.catalog import QUERIES
 
 
 # --- html_strip
@@ -30,3 +31,16 @@ def test_sections_decode_titles_and_bodies(spark):
     page = '<h1 class="ltx_title ltx_title_document">Na&iuml;ve&#8212;Bayes</h1><section id="S1" class="ltx_section"><h2>1 R&eacute;sum&#xE9;</h2><p>so&hellip;</p></section>'
     row = segment.html_sections(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
     assert (row["doc_title"], row["title"]) == ("Naïve—Bayes", "Résumé") and row["body"].endswith("so…")
+
+
+# --- paper_url
+
+
+def test_pages_of_any_id_get_their_addresses(spark, tmp_path):
+    ids = [0, 99_999, 100_000, 123_456, 10**12 + 7]
+    spark.createDataFrame([(i, "https://example.org/a") for i in ids], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r["page_id"]: r for r in QUERIES["paper_url"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ids
+    for i in ids:
+        n = f"{i % 10000:04}.{i % 100000:05}"
+        assert rows[i][1:] == (f"https://ar5iv.org/html/{n}v2", f"https://ar5iv.org/html/{n}", f"https://ar5iv.org/html/{n}", None)
