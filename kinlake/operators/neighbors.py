@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinlake.functions.text import char_ngrams
+from kinlake.session import stash
 
 BLOCK = 1_024
 POOL_K = 200
 DIGITS = 9
+SPLIT = 2_000
+PACK = 200
 
 
 def ranked(stubs: DataFrame, k: int | None = None) -> DataFrame:
@@ -71,20 +74,43 @@ def knn(vectors: DataFrame, k: int = POOL_K, positive: bool = True, block: int =
     return ranked(left.join(packed, "block").select("ids_a", "raw_a", "ids", "raw").mapInArrow(meet, "i long, j long, cos double"), k)
 
 
-def gram_cosines(records: DataFrame, grams: Column | None = None, text: str = "text", binary: bool = False) -> DataFrame:
+def gram_cosines(records: DataFrame, grams: Column | None = None, text: str = "text", binary: bool = False, split: int = SPLIT) -> DataFrame:
     """``(i, j, cos)`` with ``i < j`` of ``records(rid, text)`` that share an n-gram, by n-gram
-    counts (with ``binary``: by presence)."""
-    posted = records.select("rid", F.explode(char_ngrams(text) if grams is None else grams).alias("gram")).groupBy("rid", "gram").agg(F.count("*").alias("tf"))
-    if binary:
-        posted = posted.withColumn("tf", F.lit(1).cast("long"))
-    norms = posted.groupBy("rid").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    shared = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")  # the others meet nothing
-    posted = posted.join(shared, "gram")
-    a = posted.select("gram", F.col("rid").alias("i"), F.col("tf").alias("x"))
-    b = posted.select("gram", F.col("rid").alias("j"), F.col("tf").alias("y"))
-    dots = a.join(b, "gram").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    counts (with ``binary``: by presence).
+
+    Records with equal n-grams are one class, whose cosines are made once and then given to
+    all its records.  Classes of a frequent n-gram, and records of a large class, meet in
+    chunks of about ``split``, so that no key has an unbounded number of rows.
+    """
+    bag = F.array_sort(char_ngrams(text) if grams is None else grams)
+    bags = records.select("rid", bag.alias("bag")).where(F.size("bag") > 0).withColumn("digest", F.sha2(F.to_json("bag"), 256))
+    classes = stash(bags.groupBy("digest").agg(F.min("rid").alias("class"), F.count("*").alias("n"), F.any_value("bag").alias("bag")), "gram-classes")
+    posted = classes.select(F.col("class").alias("rid"), F.explode("bag").alias("gram")).groupBy("rid", "gram").agg(F.lit(1).cast("long").alias("tf") if binary else F.count("*").alias("tf"))
+    squares = F.col("tf") * F.col("tf")
+    norms = posted.groupBy("rid").agg(F.sqrt(F.sum(squares).cast("double")).alias("norm"))
+    posted = posted.where("gram IS NOT NULL")
+    alone = posted.groupBy("rid").agg(F.sum(squares).alias("dot")).select(F.col("rid").alias("i"), F.col("rid").alias("j"), "dot")
+    shared = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")  # the others meet nothing
+    placed = posted.join(shared.select("gram", F.ceil(F.col("df") / split).cast("int").alias("chunks")), "gram").withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks").cast("int"))
+    low = placed.select("gram", F.col("rid").alias("a"), F.col("tf").alias("x"), F.col("chunk").alias("p"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("q"))
+    high = placed.select("gram", F.col("rid").alias("b"), F.col("tf").alias("y"), F.col("chunk").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("p"))
+    met = low.join(high, ["gram", "p", "q"]).where((F.col("p") < F.col("q")) | (F.col("a") < F.col("b")))
+    dots = met.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     n = lambda end: norms.select(F.col("rid").alias(end), F.col("norm").alias(f"n_{end}"))
-    return dots.join(n("i"), "i").join(n("j"), "j").select("i", "j", F.round(F.col("dot") / (F.col("n_i") * F.col("n_j")), DIGITS).alias("cos"))
+    cosines = dots.unionByName(alone).join(n("i"), "i").join(n("j"), "j").select("i", "j", F.round(F.col("dot") / (F.col("n_i") * F.col("n_j")), DIGITS).alias("cos"))
+    return _of_records(cosines, bags.select("rid", "digest").join(classes.select("digest", "class", "n"), "digest"), split)
+
+
+def _of_records(cosines: DataFrame, members: DataFrame, split: int) -> DataFrame:
+    """Cosines of classes, each with itself too, as those of all pairs of their records
+    ``members(rid, class, n)``; ``n`` is the class's size."""
+    size = max(1, min(split, PACK))
+    packs = stash(members.groupBy("class", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / size)).cast("int").alias("chunk")).agg(F.collect_list("rid").alias("rids")), "gram-members")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows here make many pairs
+    end = lambda e, chunk, rids: packs.select(F.col("class").alias(e), F.col("chunk").alias(chunk), F.col("rids").alias(rids))
+    met = cosines.join(end("i", "p", "xs"), "i").join(end("j", "q", "ys"), "j").where("i < j OR p <= q").repartition(tasks, "i", "p", "j", "q")
+    pairs = met.withColumn("x", F.explode("xs")).select("i", "j", "p", "q", "cos", "x", F.explode("ys").alias("y")).where("i < j OR p < q OR x < y")
+    return pairs.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "cos")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

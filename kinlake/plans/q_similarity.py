@@ -82,6 +82,25 @@ def cosine_ngrams_binary(spark: SparkSession, sf: str) -> DataFrame:
     return gram_cosines(_names(spark, sf), binary=True).withColumn("cos", F.round("cos", 6))
 
 
+ALL_GRAMS = GRAMS.replace("t AS (SELECT DISTINCT lower(trim(p_name)) AS s FROM part), r AS (SELECT s, row_number() OVER (ORDER BY s) AS rid FROM t)", "r AS (SELECT p_partkey AS rid, lower(trim(p_name)) AS s FROM part)")
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part with its name."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("rid"), F.lower(F.trim("p_name")).alias("text"))
+
+
+@query(f"WITH {ALL_GRAMS} {COSINES.format('tf', 'a.tf * b.tf')}")
+def cosine_ngrams_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of parts whose names share an n-gram."""
+    return gram_cosines(_records(spark, sf)).withColumn("cos", F.round("cos", 6))
+
+
+@query(f"WITH {ALL_GRAMS} {COSINES.format('1', '1')}")
+def cosine_ngrams_binary_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return gram_cosines(_records(spark, sf), binary=True).withColumn("cos", F.round("cos", 6))
+
+
 RESOLVED = f"""WITH RECURSIVE {PARTS}, {BRAND}, l AS (SELECT i, j FROM c WHERE round(({LV_NAME} + {JC_TYPE}) / 2, 9) >= 0.8), e AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
 r AS (SELECT rid AS a, rid AS b FROM p UNION SELECT r.a, e.j FROM r JOIN e ON r.b = e.i), m AS (SELECT a AS rid, min(b) AS first FROM r GROUP BY a)"""
 

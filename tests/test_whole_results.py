@@ -2,10 +2,15 @@
 
 import html
 import html.entities
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from kinlake.functions.text import strip_html
 from kinlake.operators import segment
+from kinlake.operators.neighbors import gram_cosines
 from kinlake.plans.catalog import QUERIES
 
 
@@ -44,3 +49,26 @@ def test_pages_of_any_id_get_their_addresses(spark, tmp_path):
     for i in ids:
         n = f"{i % 10000:04}.{i % 100000:05}"
         assert rows[i][1:] == (f"https://ar5iv.org/html/{n}v2", f"https://ar5iv.org/html/{n}", f"https://ar5iv.org/html/{n}", None)
+
+
+# --- n-gram cosines
+
+
+@pytest.mark.parametrize(("binary", "split"), [(False, 2_000), (False, 2), (True, 3)])
+def test_gram_cosines_of_all_records_against_brute_force(spark, binary, split):
+    names = ["large ring", "large  ring", "hot bolt", "hot ring", "ring ring ring", "xyz", "ab", "ab", "", None, *["blue ring"] * 9, *[f"ring {k}" for k in range(12)]]
+    texts = {k: " ".join((n or "").split()) for k, n in enumerate(names)}
+    grams = {k: Counter([t[x : x + 3] for x in range(len(t) - 2)] if len(t) > 3 else [t] if t else []) for k, t in texts.items()}
+    if binary:
+        grams = {k: Counter(set(g)) for k, g in grams.items()}
+    norm = {k: math.sqrt(sum(x * x for x in g.values())) for k, g in grams.items()}
+    want = {(i, j): sum(grams[i][g] * grams[j][g] for g in grams[i]) / (norm[i] * norm[j]) for i in texts for j in texts if i < j and set(grams[i]) & set(grams[j])}
+    rows = gram_cosines(spark.createDataFrame(list(enumerate(names)), "rid long, text string"), binary=binary, split=split).collect()
+    assert len(rows) == len(want) and {(r["i"], r["j"]): r["cos"] for r in rows} == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("name", ["cosine_ngrams_parts", "cosine_ngrams_binary_parts"])
+def test_every_part_has_its_cosines(spark, sf_dir, name):
+    pairs = QUERIES[name](spark, sf_dir)
+    ends = pairs.select("i").union(pairs.select("j")).distinct()
+    assert ends.count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
