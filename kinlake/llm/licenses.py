@@ -14,6 +14,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,9 @@ SPELLINGS = [
     ("wilful", "willful"),
 ]
 
+# Whole licences with their usual title lines; ``all_rights`` where "All rights reserved." may stand before the text.
+BUNDLED = Path(__file__).with_name("licenses.json")
+
 # Short notices and licences that documents may consist of.
 KNOWN = [
     ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
@@ -120,9 +127,22 @@ def scan_licenses(documents: DataFrame, known: DataFrame) -> DataFrame:
     return documents.select("doc_id", digest(F.col("text")).alias("digest")).join(table_of, "digest", "left").select("doc_id", "digest", "license_id")
 
 
+def bundled() -> list[tuple[str, str]]:
+    """``(license_id, text)`` of the bundled licences in their usual forms: with and without a
+    title, wrapped and with one line to a paragraph, links with either scheme."""
+    out = set()
+    for x in json.loads(BUNDLED.read_text(encoding="utf-8")):
+        for title in ("", *x["titles"]):
+            for rights in ("", "All rights reserved.")[: 1 + x["all_rights"]]:
+                whole = "\n\n".join(part for part in (title, rights, x["text"]) if part)
+                for form in (whole, re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", whole)):
+                    out |= {(x["license_id"], form), (x["license_id"], form.replace("https://", "http://")), (x["license_id"], form.replace("http://", "https://"))}
+    return sorted(out)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the bundled notices and licences."""
-    return scan_licenses(table(spark, sf_dir, "documents"), spark.createDataFrame(KNOWN, "license_id string, text string"))
+    """All documents against the known notices and the bundled licences."""
+    return scan_licenses(table(spark, sf_dir, "documents"), spark.createDataFrame(KNOWN + bundled(), "license_id string, text string"))
 
 
 def _sql_canonical(text: str) -> str:
