@@ -27,16 +27,33 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a new local folder."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset and all runs on one machine, as in tests, a new local folder; on a
+    cluster that would scatter tables over its machines, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kinlake-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stashes(spark: SparkSession) -> None:
+    """Removes all tables that this application has stashed; results that were not written elsewhere go with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -57,15 +74,21 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
 
 
 ARROW_ROWS = 500
+ARROW_BYTES = 16 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch for this session: rows that hold whole texts can be
-    long, and each running task has a few batches in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Bounds the rows and bytes of an Arrow batch: rows that hold whole texts can be long, and
+    each running task has a few batches in memory.
+
+    Settings are read when a plan is run, which is after the operator has returned, so
+    they stay lowered for the session.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name, str(most)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def trimmed(function):

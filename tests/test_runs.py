@@ -220,19 +220,26 @@ def test_sinks(spark, tmp_path):
 
 
 def brute_sections(text):
+    """By the rule: blank lines part blocks; header lines that open a block give its title (the
+    last one), a block of headers alone titles the next; the first of several is the document's."""
+    import itertools
     import re
 
-    blocks, body, title = [], [], "Untitled"
-    for line in [*(x.strip() for x in text.split("\n")), ""]:
-        if not line:
-            if body:
-                blocks.append((title, " ".join(body)))
-                body, title = [], "Untitled"
-        elif re.match(segment.HEADER, line) and len(line) < 60 and not body:
-            title = re.sub(r"^\d+(\.\d+)*\s*", "", re.sub(r"^#+\s*", "", line))
-        else:
-            body.append(line)
-    return blocks[1:] if len(blocks) > 1 else blocks
+    def header(line):
+        return len(line) < 60 and re.fullmatch(segment.HEADER.strip("^$"), line) is not None
+
+    stripped = [line.strip() for line in text.split("\n")]
+    blocks = [list(lines) for full, lines in itertools.groupby(stripped, key=bool) if full]
+    found, waiting = [], None
+    for block in blocks:
+        heads = list(itertools.takewhile(header, block))
+        prose = block[len(heads) :]
+        waiting = heads[-1] if heads else waiting
+        if prose:
+            name = "Untitled" if waiting is None else re.sub(r"^#+\s*", "", waiting)
+            found.append((re.sub(r"^[0-9]+(?:\.[0-9]+)*\s*", "", name), " ".join(prose)))
+            waiting = None
+    return found if len(found) < 2 else found[1:]
 
 
 TEXTS = ["First block\nof two lines.\n\nIntroduction\nWe say a thing.\n\n\nMethods\n\nWhat we did.\nHow.\n\n# Results\nNumbers 12.", "only one block here.", "", "\n\n", "Heading Alone\n\n", "Heading\nOther Heading\nbody text.\n\nMore text here.\nConclusion\nstill body.", "a\n\nA Header Line\n\n\nb\n\nc"]
