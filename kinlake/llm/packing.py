@@ -3,17 +3,21 @@
 A document's tokens are its ids and a closing 0.  Only documents longer than a
 sequence are cut, into full pieces and a rest.  A sequence has three capacities: its
 tokens, a number of documents and an attention cost (the sum of squared lengths), so
-a piece is a vector that follows from its length alone.  Therefore the packing is
-planned on the histogram of lengths, whose size is bounded by the sequence length:
-longest first, each bin takes the piece with the largest weighted dot product between
-its demand and what is left, under every capacity; a filled pattern is repeated while
-pieces of its lengths last.  Each piece then finds its place by its rank among pieces
-of its length.  Ranks are taken inside the written parts of the pieces and moved by
-the counts of earlier parts, so a length that a third of all pieces share is no hot
+a piece is a vector that follows from its length alone.  Pieces are placed longest
+first.  Each goes to the sequence, among those with room for it in every capacity,
+whose residual vector (as shares of the capacities) has the smallest weighted norm once
+the piece is in; a new sequence opens only when none has room.
+
+Pieces of one length are alike, and so are sequences filled alike, so the packing is
+planned for whole lengths and runs of sequences at once: the plan follows from the
+histogram of lengths, which the sequence length bounds, and has a run for each
+placement, not a row for each piece.  Each piece then finds its place by its rank among
+pieces of its length.  Ranks are taken inside the written parts of the pieces and moved
+by the counts of earlier parts, so a length that a third of all pieces share is no hot
 key.
 
-With the default capacities only tokens bind, so the number of sequences is that of
-best-fit decreasing on lengths.
+By default tokens are what runs out; documents and attention cost weigh in the choice
+between sequences (``WEIGHTS``).  A smaller ``documents`` or ``cost`` bounds them, too.
 
 Edge cases: null and empty texts are the id 0 alone; equal rows are packed each by
 itself; null ids are rows like others; an empty table gives an empty result; other
@@ -22,7 +26,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,17 +43,18 @@ from kinlake.session import small_batches, stash, table, trimmed
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 150_000
+WEIGHTS = (1.0, 0.2, 0.2)
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds, and the weights of the dot product (tokens, documents, attention cost)."""
+    """What a sequence holds, and the weights of the residual norm (tokens, documents, attention cost)."""
 
     tokens: int = LENGTH
     documents: int = LENGTH
     cost: int = LENGTH * LENGTH
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = WEIGHTS
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -145,74 +149,59 @@ def tokenize(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(read), PIECE_SCHEMA)
 
 
-def plan(counts: dict[int, int], capacity: Capacity = Capacity()) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns ``(how many sequences, [(length, pieces of it)])`` that use up ``counts``, longest first.
+Places = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-    A pattern opens with the longest length left and takes, while anything fits, the
-    length with the largest weighted dot product of demand and residual; for tokens
-    alone that is the longest that fits.  The pattern repeats while the counts allow.
+
+def plan(counts: dict[int, int], capacity: Capacity = Capacity()) -> tuple[int, Places]:
+    """The number of sequences, and for each length the runs that take its pieces by rank: first
+    rank, first sequence, pieces in each sequence, offset of the first of them.
+
+    Sequences filled alike stand in one row ``(first, how many, tokens, documents, cost left)``.
+    A placement fills up a row or uses up a length, so rows grow by two at most for each
+    length, whatever the number of pieces.
     """
-    left = dict(counts)
-    heap = [-x for x in left]
-    heapq.heapify(heap)
-    lengths = np.array(sorted(left), dtype=np.int64)
-    alive = np.ones(len(lengths), dtype=bool)
-    demand = np.stack([lengths, np.ones_like(lengths), lengths * lengths], 1).astype(float)
     scale = np.array([capacity.tokens, capacity.documents, capacity.cost], dtype=float)
     weights = np.array(capacity.weights)
-    patterns = []
-    while heap:
-        if not left[-heap[0]]:
-            heapq.heappop(heap)
-            continue
-        first = -heap[0]
-        used: dict[int, int] = {}
-        residual = scale.copy()
-        now = int(np.searchsorted(lengths, first))
-        while now >= 0:
-            value = int(lengths[now])
-            fits = int(np.min(np.floor_divide(residual, demand[now]))) if used or np.all(demand[now] <= residual) else 1
-            take = min(max(fits, 0), left[value] - used.get(value, 0))
-            if not used:
-                take = max(take, 1)  # a piece alone in a sequence is always allowed
-            if weights[1] or weights[2]:
-                take = min(take, 1)  # other lengths may be better after each
-            if take > 0:
-                used[value] = used.get(value, 0) + take
-                residual -= take * demand[now]
-            open_ = alive & (demand <= residual + 1e-9).all(1)
-            for v, n in used.items():
-                if n >= left[v]:
-                    open_[np.searchsorted(lengths, v)] = False
-            if not open_.any():
-                break
-            if weights[1] or weights[2]:
-                score = ((demand / scale) * (residual / scale) * weights).sum(1)
-                now = int(np.argmax(np.where(open_, score, -1.0)))
-            else:
-                now = int(np.flatnonzero(open_)[-1])
-        times = min(left[v] // n for v, n in used.items())
-        patterns.append((times, sorted(used.items(), reverse=True)))
-        for v, n in used.items():
-            left[v] -= n * times
-            if not left[v]:
-                alive[np.searchsorted(lengths, v)] = False
-    return patterns
-
-
-def _intervals(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length: first rank, first sequence, pieces in each sequence, first offset of its intervals."""
-    rows: dict[int, list[tuple[int, int, int, int]]] = {}
-    used: dict[int, int] = {}
-    sequence = 0
-    for times, parts in patterns:
-        offset = 0
-        for value, n in parts:
-            rows.setdefault(value, []).append((used.get(value, 0), sequence, n, offset))
-            used[value] = used.get(value, 0) + times * n
-            offset += n * value
-        sequence += times
-    return {v: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for v, r in rows.items()}
+    first, many = np.zeros(64, np.int64), np.zeros(64, np.int64)
+    left = np.zeros((64, 3), np.int64)
+    rows = sequences = 0
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def add(start: int, n: int, residual: np.ndarray) -> None:
+        nonlocal first, many, left, rows
+        if n:
+            if rows == len(first):
+                first, many, left = (np.concatenate([x, np.zeros_like(x)]) for x in (first, many, left))
+            first[rows], many[rows], left[rows] = start, n, residual
+            rows += 1
+
+    for value in sorted(counts, reverse=True):
+        todo, rank = counts[value], 0
+        demand = np.array([value, 1, value * value], np.int64)
+        runs[value] = []
+        while todo:
+            open_ = np.flatnonzero((left[:rows] >= demand).all(1) & (many[:rows] > 0))
+            if len(open_):
+                norm = ((((left[open_] - demand) / scale) ** 2) * weights).sum(1)
+                k = int(open_[np.argmin(norm)])
+                n, each, start, offset = min(todo, int(many[k])), 1, int(first[k]), int(capacity.tokens - left[k, 0])
+                residual = left[k].copy()
+                first[k] += n
+                many[k] -= n
+            else:  # new sequences, each filled while this length lasts; a piece too large for a bound is alone
+                each = max(1, int((np.array([capacity.tokens, capacity.documents, capacity.cost]) // demand).min()))
+                each = min(each, todo)
+                n, start, offset = todo // each, sequences, 0
+                residual = np.array([capacity.tokens, capacity.documents, capacity.cost], np.int64)
+                sequences += n
+            add(start, n, residual - each * demand)
+            runs[value].append((rank, start, each, offset))
+            rank += n * each
+            todo -= n * each
+        if rows > 64 and (many[:rows] == 0).sum() > rows // 2:
+            keep = np.flatnonzero(many[:rows] > 0)
+            first[: len(keep)], many[: len(keep)], left[: len(keep)], rows = first[keep], many[keep], left[keep], len(keep)
+    return sequences, {v: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for v, r in runs.items() if r}
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
@@ -221,7 +210,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     parts = stash(pieces.withColumn("__part", F.spark_partition_id()), "pack-pieces")
     per_part = stash(parts.groupBy("length", "__part").agg(F.count("*").alias("__n")), "pack-counts")
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most one row per length
-    places = spark.sparkContext.broadcast(_intervals(plan(counts, capacity)))
+    places = spark.sparkContext.broadcast(plan(counts, capacity)[1])
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     local = Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")

@@ -5,7 +5,8 @@ smallest hash), one of each set of near copies.  A word's log-odds is its share
 toxic documents against the base rate under a Dirichlet prior of ``PRIOR``
 pseudo-documents; a word without enough evidence takes that of its longest known
 prefix, so unseen inflections count.  Every token also costs ``DRIFT``, so chance
-runs sink.
+runs sink.  All words and prefixes with ``EVIDENCE`` are kept: their number is bounded
+by the sample.
 
 Scoring finds all maximal-scoring segments of a whole text in linear time (each is
 one passage).  Their scores are calibrated by the extreme-value law of the best
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,10 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.llm.shingles import shingle_sets
-from kinlake.session import drop_matching, small_batches, stash, table, trimmed
+from kinlake.session import small_batches, stash, table, trimmed
 
 TRAIN_ROWS = 20_000
-MODEL_UNITS = 100_000
 PRIOR = 4.0
 DRIFT = 0.5
 EVIDENCE = 3.5
@@ -108,6 +108,16 @@ def _feature(evidence: list[float]) -> float:
     return math.sqrt(sum(x for x in evidence if x >= SIGNIFICANT))
 
 
+def _chance(x: float) -> float:
+    return 1 / (1 + math.exp(-max(min(x, 500), -500))) if x > -math.inf else 0.0
+
+
+def _score(n: int, segments: list[tuple[int, int, float]], model: Model) -> tuple[float, list[float]]:
+    """The probability of a text of ``n`` words, and its segments' calibrated scores."""
+    evidence = _evidence(n, segments, model)
+    return _chance(model.intercept + model.slope * _feature(evidence)), evidence
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``(text, toxic)`` of at most ``rows`` labelled documents, one of each set of near copies."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -122,7 +132,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_R
                 keys.append(int(h[0].view(np.int64)) if len(h) else 0)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("text"), batch.column("toxic")], names=["key", "text", "toxic"])
 
-    return picked.mapInArrow(trimmed(least), "key long, text string, toxic boolean").dropDuplicates(["key"]).select("text", "toxic")
+    keyed = picked.mapInArrow(trimmed(least), "key long, text string, toxic boolean")
+    return keyed.groupBy("key").agg(F.min(F.struct("text", "toxic")).alias("one")).select("one.*")  # of each key always the same one
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
@@ -147,8 +158,24 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(trimmed(count), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _measured(sample: DataFrame, model: Model, number: Callable[[int, list[tuple[int, int, float]], Model], float]) -> list[tuple[bool, int, float]]:
+    """``(toxic, words, number)`` of each sampled document with words, in an order of its own: three numbers
+    for each of the bounded sample's rows, however long they are."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(shared.value)
+        for batch in batches:
+            found = [_segments(text.as_py(), scores) for text in batch.column("text")]
+            values = [number(n, segments, shared.value) if n else 0.0 for n, segments in found]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(values, pa.float64())], names=["toxic", "n", "value"])
+
+    rows = sample.mapInArrow(trimmed(measure), "toxic boolean, n long, value double").where("n > 0").collect()
+    return sorted((r["toxic"], r["n"], r["value"]) for r in rows)
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on ``labels(doc_id, toxic)``; the driver gets the model's units and one pair of numbers per sampled document."""
+    """Fits on ``labels(doc_id, toxic)``; the driver gets the model's units and a few numbers per sampled document."""
     small_batches(documents.sparkSession)
     sample = stash(training_sample(documents, labels, rows), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -164,24 +191,14 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mode
         .where("toxic + clean >= 3")
         .select("unit", odds.alias("odds"), (F.abs(odds) / spread).alias("z"))
         .where(F.col("z") >= EVIDENCE)
-        .orderBy(F.desc("z"), "unit")
-        .limit(MODEL_UNITS)
         .collect()
     )
     model = Model({r["unit"][2:]: r["odds"] for r in units if r["unit"][0] == "w"}, {r["unit"][2:]: r["odds"] for r in units if r["unit"][0] == "p"})
-    shared = sample.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(shared.value)
-        for batch in batches:
-            out = [(toxic, *_segments(text, scores)) for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist([{"toxic": t, "n": n, "segments": [s for _, _, s in found]} for t, n, found in out], pa.schema([("toxic", pa.bool_()), ("n", pa.int64()), ("segments", pa.list_(pa.float64()))]))
-
-    measured = sample.mapInArrow(trimmed(measure), "toxic boolean, n long, segments array<double>").where("n > 0").collect()  # at most `rows` rows
-    best = [(r["n"], max(r["segments"], default=0.0)) for r in measured if not r["toxic"]]
+    measured = _measured(sample, model, lambda n, found, _: max((s for _, _, s in found), default=0.0))
+    best = [(n, s) for toxic, n, s in measured if not toxic]
     model.rate, model.scale = _extreme_value(np.array([n for n, _ in best], float), np.array([s for _, s in best]))
-    x = np.array([_feature(_evidence(r["n"], [(0, 0, s) for s in r["segments"]], model)) for r in measured])
-    y = np.array([float(r["toxic"]) for r in measured])
+    measured = _measured(sample, model, lambda n, found, fitted: _feature(_evidence(n, found, fitted)))
+    x, y = np.array([v for _, _, v in measured]), np.array([float(t) for t, _, _ in measured])
     model.slope, model.intercept = _logistic(x, y)
     return model
 
@@ -233,9 +250,8 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
             for text in batch.column("text"):
                 text = text.as_py()
                 n, found = _segments(text, scores)
-                evidence = _evidence(n, found, fitted)
-                p = fitted.intercept + fitted.slope * _feature(evidence)
-                values.append(1 / (1 + math.exp(-max(min(p, 500), -500))) if p > -math.inf else 0.0)
+                value, evidence = _score(n, found, fitted) if n else (_chance(fitted.intercept), [])
+                values.append(value)
                 strong = [(a, b, e) for (a, b, _), e in zip(found, evidence, strict=True) if e >= SIGNIFICANT]
                 if strong:
                     at = [m.span() for m in WORD.finditer(text.lower())]
@@ -259,14 +275,20 @@ THRESHOLD = 0.7
 
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored below ``threshold``, with all their columns.
-
-    Scores depend on the text alone, so rejected rows are found by id and text hash.
-    """
-    hashed = documents.select(F.col("doc_id"), "text")
-    bad = score_documents(hashed.select(F.xxhash64("text").alias("doc_id"), "text"), model).where(F.col("score") >= threshold)
-    bad = bad.select(F.col("doc_id").alias("__hash")).distinct()
-    return drop_matching(documents, bad, F.xxhash64("text") == F.col("__hash"))
+    """The documents scored below ``threshold``, with all their columns; rows are judged where they are read."""
+    small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    text_at = documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        scores = _Scores(fitted)
+        for batch in batches:
+            found = (_segments(text.as_py(), scores) for text in batch.column(text_at))
+            values = [_score(n, segments, fitted)[0] if n else _chance(fitted.intercept) for n, segments in found]
+            yield batch.filter(pa.array([v < threshold for v in values], pa.bool_()))
+
+    return documents.mapInArrow(trimmed(keep), documents.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,30 @@ def test_toxicity_learns_and_generalises(spark):
     assert left.columns == documents(spark, []).columns and 902 not in {r["doc_id"] for r in left.collect()}
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Scores from a given model, by the definition of maximal segments and the calibration's formula."""
+    model = toxicity.Model({"vile": 3.0, "bad": 1.25, "kind": -2.0}, {"grub": 2.5, "grubworm"[:7]: 3.5}, rate=1.1, scale=0.05, slope=1.7, intercept=-3.0)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["vile", "bad", "kind", "grubs", "grubworms", "neutral", "Vile!", "12"], int(rng.integers(1, 14)))) for _ in range(60)]
+    texts += ["vile " * 3 + "neutral " * 30_000 + "bad vile"]  # long: found at its end, too
+    odds = {"vile": 3.0, "bad": 1.25, "kind": -2.0, "grubs": 2.5, "grubworms": 3.5, "neutral": 0.0}
+
+    def by_hand(text):
+        words = re.findall(r"[a-z]+", text.lower())
+        scores = [odds[w] - 0.5 for w in words]
+        runs = maximal_by_definition(scores) if len(scores) < 20 else [(0, 3, 7.5), (30_003, 30_005, 3.25)]
+        evidence = [1.1 * s - np.log(0.05 * len(words)) for _, _, s in runs]
+        x = -3.0 + 1.7 * np.sqrt(sum(e for e in evidence if e >= 1.0))
+        return (1 / (1 + np.exp(-x)) if words else 1 / (1 + np.exp(3.0))), sum(e >= 1.0 for e in evidence)
+
+    rows = documents(spark, list(enumerate(texts)))
+    for r in toxicity.score_documents(rows, model).collect():
+        value, passages = by_hand(texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(value, abs=1e-9) and len(r["passages"]) == passages
+    left = {r["doc_id"] for r in toxicity.drop_toxic(rows, model).collect()}
+    assert left == {k for k, t in enumerate(texts) if by_hand(t)[0] < 0.7}
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(documents(spark, EDGES), none)
@@ -334,17 +358,68 @@ def test_packing_pieces_and_offsets(spark):
     assert packing.pack_documents(documents(spark, []), path).collect() == []
 
 
+def planned(counts, capacity):
+    """The lengths in each sequence, with their offsets, read off the plan piece by piece."""
+    n, places = packing.plan(counts, capacity)
+    out = {}
+    for value, (low, base, each, start) in places.items():
+        assert low[0] == 0
+        for rank in range(counts[value]):
+            at = int(np.searchsorted(low, rank, side="right")) - 1
+            inside = rank - int(low[at])
+            out.setdefault(int(base[at]) + inside // int(each[at]), []).append((int(start[at]) + inside % int(each[at]) * value, value))
+    assert sorted(out) == list(range(n))
+    return out
+
+
+def best_fit_by_definition(counts, capacity):
+    """Piece by piece: the sequence with the smallest weighted residual norm among those with room."""
+    bound = np.array([capacity.tokens, capacity.documents, capacity.cost])
+    bins = []
+    for value in sorted(counts, reverse=True):
+        demand = np.array([value, 1, value * value])
+        for _ in range(counts[value]):
+            room = [(float((((left - demand) / bound) ** 2 * capacity.weights).sum()), k) for k, left in enumerate(bins) if (left >= demand).all()]
+            if room:
+                bins[min(room)[1]] -= demand
+            else:
+                bins.append(bound - demand)
+    return len(bins)
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1, max_size=20), st.sampled_from([(64, 64, 4096, (1.0, 0.0, 0.0)), (64, 5, 4096, (1.0, 0.2, 0.0)), (64, 64, 1500, (1.0, 0.0, 0.5))]))
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1, max_size=20), st.sampled_from([(64, 64, 4096, (1.0, 0.0, 0.0)), (64, 64, 4096, packing.WEIGHTS), (64, 5, 4096, (1.0, 0.2, 0.0)), (64, 64, 1500, (1.0, 0.0, 0.5))]))
 def test_plan_respects_every_capacity(counts, limits):
     tokens, docs, cost, weights = limits
     capacity = packing.Capacity(tokens, docs, cost, weights)
-    used = Counter()
-    for times, parts in packing.plan(counts, capacity):
-        assert times > 0
-        alone = sum(n for _, n in parts) == 1
-        assert sum(v * n for v, n in parts) <= tokens
-        assert alone or (sum(n for _, n in parts) <= docs and sum(v * v * n for v, n in parts) <= cost)
-        for v, n in parts:
-            used[v] += times * n
+    used, found = Counter(), planned(counts, capacity)
+    for parts in found.values():
+        at = 0
+        for offset, value in sorted(parts):
+            assert offset == at
+            at += value
+        lengths = [v for _, v in parts]
+        assert at <= tokens and (len(lengths) == 1 or (len(lengths) <= docs and sum(v * v for v in lengths) <= cost))
+        used.update(lengths)
     assert used == Counter(counts)
+    if cost == 4096:
+        assert len(found) <= 1.03 * best_fit_by_definition(counts, capacity) + 1
+
+
+def test_weights_and_capacities_change_the_packing(spark):
+    rng = np.random.default_rng(6)
+    rows = documents(spark, [(k, prose(rng, int(rng.integers(1, 700)), 50)) for k in range(150)])
+    path = packing.tokenizer_path()
+
+    def packed(**limits):
+        got = packing.pack_documents(rows, path, packing.Capacity(**limits)).collect()
+        check_packing(got, 2048)
+        groups = {}
+        for r in got:
+            groups.setdefault(r["sequence_id"], []).append(r["length"])
+        return sorted(map(sorted, groups.values()))
+
+    usual, tokens, few, cheap = packed(), packed(weights=(1.0, 0.0, 0.0)), packed(documents=2), packed(cost=2048 * 700)
+    assert usual != tokens and len(usual) <= 1.01 * len(tokens) + 1
+    assert max(map(len, few)) <= 2 < max(map(len, usual)) and len(few) > len(usual)
+    assert all(len(g) == 1 or sum(v * v for v in g) <= 2048 * 700 for g in cheap) and len(cheap) > len(usual)
