@@ -10,7 +10,8 @@ Reading: a record is never held whole.  The archive is inflated piece by piece a
 every record becomes rows ``(record id, chunk number, data)`` of at most ``CHUNK``
 bytes; SHA-256 and byte count go along incrementally and stand on the last chunk.
 Rows of one record are adjacent in their archive but need not stay together, so
-an oversized payload is no oversized row.
+an oversized payload is no oversized row.  Revisits hold the digest and length that
+their header says.
 
 Edge cases: a null or empty payload is a response of 0 bytes with the digest of
 nothing; equal rows (same id, same payload) that share the smallest id are all
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from kinlake.session import new_path, small_batches, stash, table, trimmed
 
 MIN_REVISIT = 100
+BROADCAST_ROWS = 300_000
+READERS = 20_000
 CHUNK = 1 << 20
 READ = 1 << 16
 CHUNK_SCHEMA = "archive string, record_id string, page_id long, record_type string, refers_to long, chunk int, n_bytes long, data binary, last boolean, payload_bytes long, payload_digest string"
@@ -55,28 +58,30 @@ def _header(page_id: int | None, kind: str, refers_to: int | None, length: int,
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def classify(pages: DataFrame) -> DataFrame:
-    """``(page_id, html, payload_bytes, payload_digest, record_type, refers_to)``.
+def classify(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(page_id, html, payload_bytes, payload_digest, record_type, refers_to)``; ``html`` is null for revisits.
 
-    Only digests that repeat are joined back, on narrow rows that Spark may split;
-    the smallest id of a digest is found by partial aggregation.
+    The smallest id of a digest is found by partial aggregation of ids alone.  Up to
+    ``broadcast_rows`` digests that repeat are broadcast, so no payload is moved; beyond
+    that the revisits are named by joins of narrow rows and payloads meet them by id and
+    digest, a key that copies don't share.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "html", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"))
-    repeats = (
-        rows.where(F.col("payload_bytes") >= MIN_REVISIT)
-        .groupBy(F.col("payload_digest").alias("__digest"))
-        .agg(F.min("page_id").alias("__first"), F.count("*").alias("__n"))
-        .where("__n > 1")
-        .drop("__n")
-    )
+    narrow = rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", F.col("payload_digest").alias("__digest"))
+    repeats = narrow.groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1 AND __first IS NOT NULL").drop("__n")
+    repeats = stash(repeats, "warc-repeats")
+    same = F.col("payload_digest") == F.col("__digest")
+    if repeats.count() <= broadcast_rows:
+        named = rows.join(F.broadcast(repeats), same, "left")
+    else:
+        again = narrow.join(repeats, "__digest").where(~F.col("page_id").eqNullSafe(F.col("__first"))).withColumnRenamed("page_id", "__page").distinct()
+        named = rows.join(stash(again, "warc-revisits"), same & F.col("page_id").eqNullSafe(F.col("__page")), "left").drop("__page")
     again = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return (
-        rows.join(repeats, F.col("payload_digest") == F.col("__digest"), "left")
-        .withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(again, F.col("__first")))
-        .drop("__digest", "__first")
-    )
+    return named.select(
+        "page_id", F.when(~again, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"),
+    )
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -95,10 +100,10 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     out = store.open_output_stream(name + ".part", compression=None)
                 body = memoryview(html.as_buffer()) if html.is_valid and kind == "response" else memoryview(b"")
                 deflate = zlib.compressobj(1, zlib.DEFLATED, 31)  # a gzip member for each record
-                parts = [deflate.compress(_header(page_id, kind, refers_to, len(body), payload_bytes, digest))]
-                parts += [deflate.compress(body[k : k + CHUNK]) for k in range(0, len(body), CHUNK)]
-                for part in (*parts, deflate.compress(b"\r\n\r\n"), deflate.flush()):
-                    size += out.write(part)
+                size += out.write(deflate.compress(_header(page_id, kind, refers_to, len(body), payload_bytes, digest)))
+                for k in range(0, len(body), CHUNK):
+                    size += out.write(deflate.compress(body[k : k + CHUNK]))
+                size += out.write(deflate.compress(b"\r\n\r\n")) + out.write(deflate.flush())
                 n += 1
         if out is not None:
             out.close()
@@ -165,8 +170,9 @@ def _records(stream: pa.NativeFile, chunk: int) -> Iterator[tuple[dict, int, byt
         held = held[4:]
 
 
-def read_chunks(archives: DataFrame, folder: str, with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of the archives named in ``archives.archive``.
+def read_chunks(archives: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """The chunked record table of the archives named in ``archives.archive``, each read by one
+    task (by name, four tasks for each archive up to ``READERS``, so that few share one).
 
     ``payload_bytes`` and ``payload_digest`` stand on a record's last chunk: computed
     from what was read for a response, and the header's for a revisit.  A response
@@ -188,17 +194,24 @@ def read_chunks(archives: DataFrame, folder: str, with_data: bool = True, chunk:
                             {
                                 "archive": name, "record_id": fields["WARC-Record-ID"].strip("<>"), "page_id": int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, "record_type": kind,
                                 "refers_to": int(fields["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in fields else None,
-                                "chunk": k, "n_bytes": len(data), "data": data if with_data else None, "last": last, "payload_bytes": total if last else None, "payload_digest": said if last else None,
+                                "chunk": k, "n_bytes": len(data), "data": data, "last": last, "payload_bytes": total if last else None, "payload_digest": said if last else None,
                             }
                         )
-                        size += len(data) * with_data + 200
+                        size += len(data) + 200
                         if size >= 4 * CHUNK:
                             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                             rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return archives.select("archive").mapInArrow(trimmed(read), CHUNK_SCHEMA)
+    tasks = max(1, min(4 * archives.count(), READERS))
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(trimmed(read), CHUNK_SCHEMA)
+
+
+def records(chunks: DataFrame) -> DataFrame:
+    """One row per record of a chunk table, from its last chunk: what the header says, the chunks,
+    and the bytes and digest carried along."""
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk") + 1).alias("chunks"))
 
 
 SCHEMA = pa.schema(
@@ -219,10 +232,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     folder = new_path(spark, "warc")
-    archives = archive_pages(table(spark, sf_dir, "pages"), folder)
-    spread = archives.repartition("archive")  # a task for each of a few archives
-    chunks = read_chunks(spread, folder, with_data=False)
-    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records(read_chunks(archive_pages(table(spark, sf_dir, "pages"), folder), folder))
 
 
 OP6_SQL = f"""
@@ -231,6 +241,7 @@ WITH p AS (
 ), f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to
+       CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to,
+       CAST(CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN 1 ELSE greatest(1, ceil(n / {CHUNK}.0)) END AS INTEGER) AS chunks
 FROM f
 """
