@@ -37,16 +37,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kinlake.llm.shingles import mix, set_ids, shingle_sets
+from kinlake.llm.shingles import mix, set_digests, set_ids, shingle_sets
 from kinlake.operators.components import connected_components
-from kinlake.session import drop_matching, small_batches, stash, table, trimmed
+from kinlake.session import BROADCAST_ROWS, drop_matching, small_batches, stash, table, trimmed
 
 SKETCH_BITS = 20
 SLICES = 16
-FILTER_BITS = 23
-BROADCAST_IDS = 2_000_000
+FILTER_BITS = (16, 27)
+SEEN = 200_000
+SPLIT = 1024
 PIECE_BYTES = 1 << 20
 BUCKET_POSTINGS = 1_000_000
 FLUSH_POSTINGS = 500_000
@@ -91,9 +91,13 @@ def overlap_bound(n: int, query: np.ndarray, other: np.ndarray) -> int:
     return n - int(np.bitwise_count(query).sum()) + int(np.bitwise_count(query & _folded(other, length)).sum())
 
 
+SCAN_SCHEMA = "doc_id long, text_a long, text_b long, n long, set_id long, other long, bitmap binary, slice int, counts binary"
+
+
 def scan(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n, set_id, bitmap)`` for each document, and counter slices ``(slice, counts)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("bitmap", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """``(doc_id, text_a, text_b, n, set_id, other, bitmap)`` for each document - 128 bits of its text, and two
+    digests of its set - and counter slices ``(slice, counts)``."""
+    schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in SCAN_SCHEMA.split(", "))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -101,14 +105,21 @@ def scan(documents: DataFrame) -> DataFrame:
             for lo, hi in pieces(batch.column("text")):
                 h, at = shingle_sets(batch.column("text").slice(lo, hi - lo))
                 counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                none = pa.nulls(hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(set_ids(h, at)), pa.array([bitmap(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_a", "text_b")]
+                maps = pa.array([bitmap(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at)), *map(pa.array, set_digests(h, at)), maps, *(pa.nulls(hi - lo, f.type) for f in list(schema)[-2:])], schema=schema)
         if counts.any():
             blobs = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, SLICES)]
-            nulls = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, f.type) for f in list(schema)[:-2]), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+
+    named = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"))
+    return named.mapInArrow(trimmed(read), SCAN_SCHEMA)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(read), "doc_id long, n long, set_id long, bitmap binary, slice int, counts binary")
+
+def clashing(docs: DataFrame) -> list[int]:
+    """First digests that different sets share, told apart by the second: some ``n**2 / 2**65`` of ``n`` sets."""
+    both = docs.where("n > 0").groupBy("set_id").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    return sorted(r["set_id"] for r in both.where("low != high").select("set_id").collect())
 
 
 def counters(scanned: DataFrame) -> np.ndarray:
@@ -139,7 +150,7 @@ def _ordered(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (seen << np.uint64(44)) | (h & np.uint64((1 << 44) - 1))
 
 
-def prefix_postings(documents: DataFrame, counts, buckets: int) -> DataFrame:
+def prefix_postings(documents: DataFrame, counts, buckets: int, clashes: np.ndarray) -> DataFrame:
     """Prefix tokens of every set, packed: one row for each bucket and some texts."""
     schema = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("place", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
 
@@ -161,8 +172,10 @@ def prefix_postings(documents: DataFrame, counts, buckets: int) -> DataFrame:
         for batch in batches:
             for lo, hi in pieces(batch.column("text")):
                 h, at = shingle_sets(batch.column("text").slice(lo, hi - lo))
-                ids, keys = set_ids(h, at), _ordered(h, table_of)
+                ids, keys = set_ids(h, at, clashes), _ordered(h, table_of)
                 n = np.diff(at)
+                if len(seen) > SEEN:  # what comes again is dropped where it meets
+                    seen.clear()
                 take = n - needed(n) + 1
                 for k in np.flatnonzero(n):
                     if (i := int(ids[k])) in seen:
@@ -182,8 +195,11 @@ def prefix_postings(documents: DataFrame, counts, buckets: int) -> DataFrame:
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """``(list_id, set_id, lead)``: sets that share a prefix token; equal lists once."""
-    schema = pa.schema([("list_id", pa.int64()), ("set_id", pa.int64()), ("lead", pa.int64())])
+    """``(list_id, salt, salts, set_id, lead)``: sets that share a prefix token; equal lists once.
+
+    A list of more than ``SPLIT`` sets is dealt over ``salts`` keys, so no join or sum by list sees it whole.
+    """
+    schema = pa.schema([("list_id", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("set_id", pa.int64()), ("lead", pa.int64())])
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["token"]])
@@ -207,64 +223,62 @@ def shared_lists(postings: DataFrame) -> DataFrame:
         at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
         members = sets[at]
         lead = np.minimum.reduceat(members, np.r_[0, np.cumsum(size)[:-1]]) if len(size) else members
-        return pa.table([np.repeat(name, size), members, np.repeat(lead, size)], schema=schema)
+        salts = np.repeat(-(-size // SPLIT), size)
+        salt = (mix(members.view(np.uint64) ^ np.uint64(SPLIT)) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int32)
+        return pa.table([np.repeat(name, size), salt, salts.astype(np.int32), members, np.repeat(lead, size)], schema=schema)
+
+    found = postings.groupBy("bucket").applyInArrow(gather, "list_id long, salt int, salts int, set_id long, lead long")
+    return found.groupBy("list_id", "salt", "salts", "set_id").agg(F.min("lead").alias("lead"))
 
-    found = postings.groupBy("bucket").applyInArrow(gather, "list_id long, set_id long, lead long")
-    return found.groupBy("list_id", "set_id").agg(F.min("lead").alias("lead"))
 
+def _place(set_id, doc_id, size: int):
+    """Where a document of a set stands in a bit set; the same for columns and for arrays."""
+    return (set_id ^ (doc_id << 7) ^ doc_id) & (size - 1)
 
-def _member_filter(members: DataFrame) -> np.ndarray:
-    """A bit set of ``2**FILTER_BITS`` hashed ids, made on the executors; it may let others through."""
-    place = F.pmod(F.col("set_id"), F.lit(1 << FILTER_BITS))
-    words = members.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+
+def _owner_filter(owners: DataFrame) -> np.ndarray:
+    """A bit set of ``owners(set_id, doc_id)``, made on the executors; it may let others through.  Its size
+    follows their number, up to ``2**FILTER_BITS[1]`` bits."""
+    size = 1 << min(max((16 * owners.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    place = F.expr(f"(set_id ^ shiftleft(doc_id, 7) ^ doc_id) & {size - 1}L")
+    words = owners.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+    out = np.zeros(size >> 6, dtype=np.int64)
     got = words.toArrow()
     out[got["w"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def tokens_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted(set_id, a, b)`` with the sets' ``tokens``; a set may come once for each task that reads it.
+def tokens_of(documents: DataFrame, wanted: DataFrame, sets: DataFrame, clashes: np.ndarray) -> DataFrame:
+    """``wanted(set_id, ...)`` with the sets' ``tokens``; ``sets(set_id, first)`` names a document of each set.
 
-    Up to ``BROADCAST_IDS`` rows are looked up while texts are read, so tokens are
-    moved once, to where they are used.  Beyond that a fixed bit set keeps out most
-    other texts and the rest is a join.
+    Only that document's row gives the tokens, so copies aren't moved: a bit set of
+    bounded size tells which rows may be meant, and the rest is a join.
     """
-    small = wanted.count() <= BROADCAST_IDS
-    table_of = wanted.toArrow() if small else None
-    if small:
-        ids, a, b = (table_of[c].to_numpy() for c in ("set_id", "a", "b"))
-        order = np.argsort(ids, kind="stable")
-        shared = documents.sparkSession.sparkContext.broadcast((ids[order], a[order], b[order]))
-    else:
-        shared = documents.sparkSession.sparkContext.broadcast(_member_filter(wanted))
-    schema = pa.schema([("set_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.binary())])
+    owners = wanted.select("set_id").distinct().join(sets.select("set_id", F.coalesce("first", F.lit(0)).alias("doc_id")), "set_id")
+    shared = documents.sparkSession.sparkContext.broadcast(_owner_filter(stash(owners, "jaccard-owners")))
+    schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            docs = pc.fill_null(batch.column("doc_id"), 0).to_numpy()
             for lo, hi in pieces(batch.column("text")):
                 h, at = shingle_sets(batch.column("text").slice(lo, hi - lo))
-                ids = set_ids(h, at)
-                if small:
-                    known, a, b = shared.value
-                    first, last = np.searchsorted(known, ids), np.searchsorted(known, ids, side="right")
-                    want = last > first
-                else:
-                    p = np.mod(ids, 1 << FILTER_BITS)
-                    want = ((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)) > 0
+                ids = set_ids(h, at, clashes)
+                p = _place(ids, docs[lo:hi], len(shared.value) << 6)
+                want = ((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)) > 0
                 rows = []
+                if len(seen) > SEEN:
+                    seen.clear()
                 for k in np.flatnonzero(want & (np.diff(at) > 0)):
-                    if (i := int(ids[k])) in seen:
-                        continue
-                    seen.add(i)
-                    tokens = h[at[k] : at[k + 1]].tobytes()
-                    rows += [(i, int(a[r]), int(b[r]), tokens) for r in range(first[k], last[k])] if small else [(i, None, None, tokens)]
+                    if (i := int(ids[k])) not in seen:
+                        seen.add(i)
+                        rows.append((i, h[at[k] : at[k + 1]].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    found = documents.select("text").mapInArrow(trimmed(read), "set_id long, a long, b long, tokens binary")
-    return found if small else found.select("set_id", "tokens").join(wanted, "set_id").select("set_id", "a", "b", "tokens")
+    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(read), "set_id long, tokens binary")
+    return found.groupBy("set_id").agg(F.first("tokens").alias("tokens")).join(wanted, "set_id")
 
 
 def _overlaps(query: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -448,11 +462,10 @@ def open_groups(tile: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple
 
 
 def open_lists(rows: DataFrame) -> DataFrame:
-    """``(src, dst)`` worth comparing, from ``(list_id, set_id, comp, lead, n, bitmap)``; lists above
+    """``(src, dst)`` worth comparing, from ``(list_id, size, set_id, comp, lead, n, bitmap)``; lists above
     ``CHUNK`` sets are met chunk by chunk."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    sizes = rows.groupBy("list_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    placed = rows.join(sizes, "list_id").withColumn("c", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
+    placed = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
     tiles = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("list_id", F.least("c", "x").alias("p"), F.greatest("c", "x").alias("q"), "set_id", "comp", "lead", "n", "bitmap")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +473,7 @@ def open_lists(rows: DataFrame) -> DataFrame:
 
         def found() -> pa.RecordBatch:
             new = [pair for pair in open_groups(tile) if pair not in seen]
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             seen.update(new)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], schema=schema)
@@ -494,67 +507,96 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(trimmed(check), "src long, dst long")
 
 
-def ngram_jaccard_components(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``documents(doc_id, text)``."""
+def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_a, text_b, n, set_id)`` of every row, and the root of every set that isn't empty: ``(set_id, root)``."""
     spark = documents.sparkSession
     sc = spark.sparkContext
     small_batches(spark)
     scanned = stash(scan(documents), "jaccard-scan")
-    docs = scanned.where("slice IS NULL").select("doc_id", "n", "set_id", "bitmap")
+    docs = scanned.where("slice IS NULL").select("doc_id", "text_a", "text_b", "n", "set_id", "other", "bitmap")
     total = scanned.agg(F.sum("n").alias("n")).first()["n"] or 0
+    clashes = clashing(docs)
+    if clashes:
+        docs = docs.withColumn("set_id", F.when(F.col("set_id").isin(clashes) & (F.col("n") > 0), F.col("other")).otherwise(F.col("set_id")))
+    docs, clashes = docs.drop("other"), np.array(clashes, np.int64)
     counts = sc.broadcast(counters(scanned))
     buckets = max(64, -(-total // (4 * BUCKET_POSTINGS)))
-    lists = stash(shared_lists(prefix_postings(documents, counts, buckets)), "jaccard-lists")
+    lists = stash(shared_lists(prefix_postings(documents, counts, buckets, clashes)), "jaccard-lists")
 
     # groups: each set goes to the smallest lead among its lists; blocks of a group all hold the lead
-    sets = docs.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("first"))
+    sets = stash(docs.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("first")), "jaccard-sets")
     lead = stash(lists.groupBy("set_id").agg(F.min("lead").alias("lead")).join(sets.drop("first"), "set_id"), "jaccard-leads")
     members = lead.select("set_id", "lead").unionByName(lead.select(F.col("lead").alias("set_id"), "lead")).distinct()
-    chunks = lead.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("chunks"))
+    wide = F.when(F.ceil(F.sum("n") / BLOCK_TOKENS) < 1 << 20, F.ceil(F.sum("n") / BLOCK_TOKENS)).otherwise(F.raise_error(F.lit("a group of the n-gram Jaccard join has too many chunks: raise BLOCK_TOKENS")))
+    chunks = lead.groupBy("lead").agg(wide.cast("long").alias("chunks"))
     placed = members.join(chunks, "lead").withColumn("c", F.pmod(F.xxhash64("set_id"), "chunks")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     both = F.shiftleft(F.least("c", "x"), 40).bitwiseOR(F.shiftleft(F.greatest("c", "x"), 20)).bitwiseOR(F.col("c"))
     placed = placed.select("set_id", F.col("lead").alias("a"), both.alias("b")).join(lead.select("set_id", "n", "bitmap"), "set_id")
-    inside = stash(block_links(tokens_of(documents, stash(worth_opening(placed), "jaccard-placed"))), "jaccard-inside")
+    inside = stash(block_links(tokens_of(documents, stash(worth_opening(placed), "jaccard-placed"), sets, clashes)), "jaccard-inside")
     near = connected_components(inside)
     solved = stash(lead.join(near, F.col("set_id") == F.col("node"), "left").select("set_id", "lead", F.coalesce("component", "set_id").alias("comp")), "jaccard-solved")
 
     # lists that still hold several components, of sets that haven't met
-    rows = lists.select("list_id", "set_id").join(solved, "set_id")
-    several = rows.groupBy("list_id").agg(*(f(c).alias(n) for n, f, c in (("a", F.min, "comp"), ("b", F.max, "comp"), ("c", F.min, "lead"), ("d", F.max, "lead")))).where("a != b AND c != d").select("list_id")
-    rows = stash(rows.join(several, "list_id"), "jaccard-rows")
+    rows = stash(lists.select("list_id", "salt", "salts", "set_id").join(solved, "set_id"), "jaccard-listed")
+    ends = [(n, f, c) for n, f, c in (("a", F.min, "comp"), ("b", F.max, "comp"), ("c", F.min, "lead"), ("d", F.max, "lead"))]
+    parts = rows.groupBy("list_id", "salt").agg(*(f(c).alias(n) for n, f, c in ends), F.max("salts").alias("salts"), F.count("*").alias("size"))
+    several = parts.groupBy("list_id").agg(*(f(n).alias(n) for n, f, _ in ends), F.max("salts").alias("salts"), F.sum("size").alias("size")).where("a != b AND c != d")
+    several = several.select("list_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "size")
+    rows = stash(rows.drop("salts").join(several, ["list_id", "salt"]), "jaccard-rows")
     pairs = stash(open_lists(rows.join(lead.select("set_id", "n", "bitmap"), "set_id")), "jaccard-pairs")
 
     # those that pass the bound are compared
-    ends = stash(pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct().select("set_id", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), "jaccard-ends")
-    tokens = tokens_of(documents, ends).groupBy("set_id").agg(F.first("tokens").alias("tokens"))
+    ends = stash(pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct(), "jaccard-ends")
+    tokens = stash(tokens_of(documents, ends, sets, clashes), "jaccard-tokens")
     links = verified(
         pairs.join(tokens.select(F.col("set_id").alias("src"), F.col("tokens").alias("tokens_a")), "src").join(tokens.select(F.col("set_id").alias("dst"), F.col("tokens").alias("tokens_b")), "dst")
     )
 
     joined = solved.where("set_id != comp").select(F.col("set_id").alias("src"), F.col("comp").alias("dst")).unionByName(inside).unionByName(links)
     roots = connected_components(joined)
-    rooted = sets.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_set = rooted.join(named, "root").select(F.col("set_id").alias("__set"), "component_id")
+    rooted = sets.select("set_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("root"))
+    return docs.drop("bitmap"), stash(rooted, "jaccard-roots")
+
+
+def ngram_jaccard_components(documents: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``documents(doc_id, text)``."""
+    docs, roots = _joined(documents)
+    first = docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first")).join(roots, "set_id")
+    named = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_set = roots.join(named, "root").select(F.col("set_id").alias("__set"), "component_id")
     return docs.join(of_set, (F.col("set_id") == F.col("__set")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that name their component (the smallest id), with all their columns.
+    """One row of each component, with all its columns: that of the smallest id (rows without one come
+    last) and, of different texts with that id, of the smallest hash.
 
-    Ids are taken to belong to one text each: of rows that share an id one is kept.
-    Rows without an id are kept.
+    Rows count by themselves: texts of different components that share an id all stay.
+    Rows with an empty set are kept.  Of rows equal in id and text one is kept, that of
+    the smallest hash of its columns.
     """
-    narrow = ngram_jaccard_components(documents).select(F.col("doc_id").alias("__doc"), "component_id")
-    narrow = stash(narrow.where("__doc IS NOT NULL").groupBy("__doc").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "jaccard-kept")
-    kept = drop_matching(documents, narrow.where("component_id != __doc").select("__doc"), F.col("doc_id") == F.col("__doc"))
-    if narrow.where("n > 1").isEmpty():
+    docs, roots = _joined(documents)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    full = docs.where("n > 0")
+    least = full.groupBy("set_id").agg(F.min(own).alias("own")).join(roots, "set_id")
+    leads = least.groupBy("root").agg(F.min("own").alias("lead"))
+    of_set = roots.join(leads, "root").select(F.col("set_id").alias("__set"), "lead")
+    key = ["doc_id", "text_a", "text_b"]
+    renamed = [F.col(c).alias(f"__{c}") for c in key]
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_a")) & (F.xxhash64(F.lit(1), "text") == F.col("__text_b"))
+    others = full.withColumn("own", own).join(of_set, F.col("set_id") == F.col("__set")).where(~F.col("own").eqNullSafe(F.col("lead")))
+    kept = drop_matching(documents, others.select(*renamed).distinct(), same)
+    again = stash(full.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*renamed), "jaccard-again")
+    n = again.count()
+    if not n:
         return kept
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = kept.where("doc_id IS NOT NULL").withColumn("__one", F.row_number().over(one)).where("__one = 1").drop("__one")
-    return once.unionByName(kept.where("doc_id IS NULL"))
+    names = kept.columns
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, t in kept.dtypes if "map<" not in t and "variant" not in t))
+    several = kept.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, same, "left_semi")
+    one = several.groupBy("doc_id", *[F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(1), "text").alias("__b")]).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), hashed).alias("__one"))
+    return drop_matching(kept, again, same).unionByName(one.select("__one.*"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,12 +127,21 @@ def shingle_sets(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.n
     return h[keep], out
 
 
-def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A signed 64-bit digest of each set: equal sets get equal digests; an empty one gets 0."""
+def set_digests(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit digests of each set: equal sets get equal digests; an empty one gets 0."""
+    n = np.diff(at)
+    out = []
     with np.errstate(over="ignore"):
-        total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), out=total[1:])
-        n = np.diff(at)
-        out = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
-    out[n == 0] = 0
-    return out.view(np.int64)
+        for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+            total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+            np.cumsum(mix(hashes ^ np.uint64(salt)), out=total[1:])
+            digest = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
+            digest[n == 0] = 0
+            out.append(digest.view(np.int64))
+    return out[0], out[1]
+
+
+def set_ids(hashes: np.ndarray, at: np.ndarray, clashes: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:
+    """A number for each set: its first digest or, where different sets share that (``clashes``, ascending), the second."""
+    first, second = set_digests(hashes, at)
+    return np.where(np.isin(first, clashes), second, first) if len(clashes) else first
