@@ -8,7 +8,8 @@ page.  Blocks labelled as article are joined in page order.
 
 The labeller is trained here on generated pages of many layouts (:func:`training_page`),
 with a fixed seed, in a few seconds of one task; its weights are broadcast (under 1 MB
-whatever the input).
+whatever the input).  A long page is read in windows that carry the states on, so memory
+is that of its blocks.
 
 Edge cases: null, empty and textless html give an empty text; broken markup is read as
 far as it goes (an unclosed tag ends at the end of the page); white space inside a
@@ -23,11 +24,13 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ HIDDEN = 24
 SEED = 11
 TRAIN_PAGES, EPOCHS, BATCH = 2400, 10, 32
 PAGES_AT_ONCE = 64
+CELLS = 8192
+HTML_BYTES = 4 << 20
 WORD_CACHE = 300_000
 
 # Elements that end a block, elements whose content is no text, elements without content.
@@ -56,10 +61,55 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """A tag path with its class and id words: one step below another path, so a deep page holds each step once."""
+
+    __slots__ = ("up", "names", "length", "counts")
+
+    def __init__(self, up: "Path | None", names: tuple[str, ...]) -> None:
+        self.up, self.names, self.length = up, names, len(names) + (up.length if up else 0)
+        self.counts: np.ndarray | None = None
+
+    def last(self, n: int) -> list[str]:
+        """The innermost ``n`` names."""
+        out, step = [], self
+        while step is not None and len(out) < n:
+            out = [*step.names[-(n - len(out)) :], *out] if step.names else out
+            step = step.up
+        return out
+
+    def hashed(self) -> np.ndarray:
+        """How many names fall into each of the vector's places, from the outermost step on."""
+        steps: list[Path] = []
+        step: Path | None = self
+        while step is not None and step.counts is None:
+            steps.append(step)
+            step = step.up
+        counts = step.counts if step is not None else np.zeros(PATH_DIM, dtype=np.float32)
+        for step in reversed(steps):
+            counts = counts.copy()
+            for name in step.names:
+                counts[_place(name)] += 1.0
+            step.counts = counts
+        return counts
+
+
+_ROOT = Path(None, ())
+
+
+@lru_cache(maxsize=100_000)
+def _place(name: str) -> int:
+    return zlib.crc32(name.encode()) % PATH_DIM
+
+
+Block = tuple[Path, str, float]
+
+
+def blocks_of(page: str) -> list[Block]:
     """``(path, text, share of characters inside links)`` of each non-empty block."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[Block] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()  # how often each tag is on the stack
     text: list[str] = []
     linked, link_depth = 0, 0
     at, end = 0, len(page)
@@ -68,14 +118,21 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            out.append((stack[-1][1] if stack else (), joined, min(1.0, linked / len(joined))))
+            out.append((stack[-1][1] if stack else _ROOT, joined, min(1.0, linked / len(joined))))
         text.clear()
         linked = 0
 
+    def drop(k: int) -> None:
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     def up_to(names: set[str], stop: set[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
-                del stack[k:]
+                drop(k)
                 return
             if stack[k][0] in stop:
                 return
@@ -105,30 +162,29 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         close()
         if closing:
-            if any(name == tag for name, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                drop(k)
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()  # a block inside a paragraph ends it
+            drop(len(stack) - 1)  # a block inside a paragraph ends it
         if tag in CLOSES:
             up_to(CLOSES[tag], _PARENTS[tag])
         if tag in VOID_TAGS:
             continue
-        path = stack[-1][1] if stack else ()
         names = [w for groups in _NAMES.findall(attributes) for w in _SPLIT.split("".join(groups).lower()) if w] if attributes else []
-        stack.append((tag, (*path, f"<{tag}", *names)))
+        stack.append((tag, Path(stack[-1][1] if stack else _ROOT, (f"<{tag}", *names))))
+        opened[tag] += 1
     close()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIM, dtype=np.float32)
-    for k, name in enumerate(path):
-        out[zlib.crc32(name.encode()) % PATH_DIM] += 1.0
-        if k >= len(path) - 2:  # the innermost names once more, apart
-            out[zlib.crc32(b"^" + name.encode()) % PATH_DIM] += 0.5
+def _path_vector(path: Path) -> np.ndarray:
+    out = path.hashed().copy()
+    for name in path.last(2):  # the innermost names once more, apart
+        out[_place("^" + name)] += 0.5
     return np.tanh(out)
 
 
@@ -140,14 +196,16 @@ class _Words(dict):
         return got
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, float]], words: _Words) -> np.ndarray:
+def features(blocks: list[Block], words: _Words, first: int = 0, total: int | None = None) -> np.ndarray:
+    """Vectors of blocks; of a page's part when it starts at block ``first`` of ``total``."""
     out = np.zeros((len(blocks), INPUT), dtype=np.float32)
+    total = len(blocks) if total is None else total
     for k, (path, text, links) in enumerate(blocks):
         row, parts = out[k], text.split(" ")
         row[:PATH_DIM] = _path_vector(path)
         counts = np.bincount([words[w] for w in parts], minlength=WORD_DIM)
         row[PATH_DIM : PATH_DIM + WORD_DIM] = counts / (1.0 + np.sqrt((counts * counts).sum()))
-        row[PATH_DIM + WORD_DIM :] = (np.log1p(len(parts)) / 5, links, (text.count(".") + text.count(",")) / len(parts), text[-1] in ".!?:\"'", k / len(blocks), np.log1p(len(path)) / 3)
+        row[PATH_DIM + WORD_DIM :] = (np.log1p(len(parts)) / 5, links, (text.count(".") + text.count(",")) / len(parts), text[-1] in ".!?:\"'", (first + k) / total, np.log1p(path.length) / 3)
     return out
 
 
@@ -155,11 +213,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(x: np.ndarray, w: dict[str, np.ndarray], side: str, keep: bool = False):
-    """States ``(T, B, H)`` of one direction over ``(T, B, INPUT)``; with ``keep`` what training needs, too."""
+def _forward(x: np.ndarray, w: dict[str, np.ndarray], side: str, keep: bool = False, state: tuple[np.ndarray, np.ndarray] | None = None):
+    """States ``(T, B, H)`` of one direction over ``(T, B, INPUT)``; with ``keep`` what training needs, too.
+
+    With ``state``, the hidden and cell states to go on from, the states to go on from afterwards are returned, too.
+    """
     t, b, _ = x.shape
     gates_in = (x.reshape(t * b, -1) @ w["x" + side] + w["b" + side]).reshape(t, b, -1)
-    h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+    h, c = state or (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
     out, kept = np.empty((t, b, HIDDEN), np.float32), []
     for k in range(t):
         z = gates_in[k] + h @ w["h" + side]
@@ -171,6 +232,8 @@ def _forward(x: np.ndarray, w: dict[str, np.ndarray], side: str, keep: bool = Fa
             kept.append((i, f, o, g, before, tc, h))
         h = o * tc
         out[k] = h
+    if state:
+        return out, (h, c)
     return (out, kept) if keep else out
 
 
@@ -201,11 +264,33 @@ def _batch(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return x, turned, place
 
 
-def _scores(sequences: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray]:
-    x, turned, place = _batch(sequences)
-    back = np.take_along_axis(_forward(turned, w, "r"), place[:, :, None], 0)
-    z = np.concatenate([_forward(x, w, "f"), back], 2) @ w["out"] + w["bias"]
-    return [z[: len(s), k, 0] for k, s in enumerate(sequences)]
+def _scores(pages: list[list[Block]], w: dict[str, np.ndarray], words: _Words) -> list[np.ndarray]:
+    """The score of each block of some pages, of like numbers of blocks.
+
+    Both directions go through the pages in windows of about ``CELLS`` blocks over all
+    pages and carry their states on, so what is held beside the blocks is one window and a
+    number per block, however long a page is.
+    """
+    lengths = [len(p) for p in pages]
+    t, b = max(lengths), len(pages)
+    step = max(1, CELLS // b)
+    out = [np.zeros(n, np.float32) for n in lengths]
+    for side, part in (("f", w["out"][:HIDDEN, 0]), ("r", w["out"][HIDDEN:, 0])):
+        state = (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
+        for lo in range(0, t, step):
+            x = np.zeros((min(step, t - lo), b, INPUT), np.float32)
+            for k, (page, n) in enumerate(zip(pages, lengths, strict=True)):
+                first, end = (lo, min(n, lo + step)) if side == "f" else (max(0, n - lo - step), n - lo)
+                if first < end:
+                    got = features(page[first:end], words, first, n)
+                    x[: end - first, k] = got if side == "f" else got[::-1]
+            states, state = _forward(x, w, side, state=state)
+            z = states @ part
+            for k, n in enumerate(lengths):
+                first, end = (lo, min(n, lo + step)) if side == "f" else (max(0, n - lo - step), n - lo)
+                if first < end:
+                    out[k][first:end] += z[: end - first, k] if side == "f" else z[: end - first, k][::-1]
+    return [z + w["bias"][0] for z in out]
 
 
 # Names of class and id attributes by role, for generated pages.
@@ -385,13 +470,28 @@ def extract(pages: list[str | None], weights: dict[str, np.ndarray], words: _Wor
     blocks = [blocks_of(p) if p else [] for p in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if blocks[k]), key=lambda k: len(blocks[k]))
-    for lo in range(0, len(order), PAGES_AT_ONCE):
-        part = order[lo : lo + PAGES_AT_ONCE]
-        for k, z in zip(part, _scores([features(blocks[k], words) for k in part], weights), strict=True):
-            out[k] = "\n".join(text for (_, text, _), score in zip(blocks[k], z, strict=True) if score > 0)
+    at = 0
+    while at < len(order):  # pages of like lengths together: padded to twice the shortest at most
+        part = [k for k in order[at : at + PAGES_AT_ONCE] if len(blocks[k]) <= max(32, 2 * len(blocks[order[at]]))]
+        at += len(part)
+        for k, z in zip(part, _scores([blocks[k] for k in part], weights, words), strict=True):
+            out[k] = "\n".join(text for (_, text, _), score in zip(blocks[k], z.tolist(), strict=True) if score > 0)
     return out
 
 
+def page_groups(column: pa.Array, most: int = HTML_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``4 * PAGES_AT_ONCE`` pages with about ``most`` bytes of html, or one page."""
+    sizes = np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=float))
+    lo, held = 0, 0.0
+    for k, size in enumerate(sizes):
+        if k > lo and (held + size > most or k - lo >= 4 * PAGES_AT_ONCE):
+            yield lo, k
+            lo, held = k, 0.0
+        held += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``."""
     small_batches(pages.sparkSession)
@@ -400,8 +500,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            for lo in range(0, len(batch), 4 * PAGES_AT_ONCE):
-                part = batch.slice(lo, 4 * PAGES_AT_ONCE)
+            for lo, hi in page_groups(batch.column("html")):
+                part = batch.slice(lo, hi - lo)
                 texts = extract(part.column("html").to_pylist(), weights.value, words)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
