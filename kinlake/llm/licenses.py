@@ -6,6 +6,11 @@ among those of known licences.  The known digests are broadcast only when their
 counted rows are within ``BROADCAST_ROWS``.  Nothing but digests is compared, and
 texts are never shuffled.
 
+A copyright line claims copyright: after "copyright", "(c)" or the sign comes a year, a
+placeholder, a name or another sign; a line of running text that wrapped before
+"copyright notice" or "copyright holders" is none, nor is an item "(c)" of a list.  A
+line of nothing but "All rights reserved." goes with them.
+
 Edge cases: a null text, or one that is empty in canonical form, has a null digest
 and matches nothing; of known licences with equal canonical texts the smallest id is
 reported; equal rows get equal results; an empty table gives an empty result; other
@@ -14,14 +19,17 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.session import table
+from kinlake.session import small_batches, table, trimmed
 
 BROADCAST_ROWS = 100_000
 
@@ -97,26 +105,61 @@ KNOWN = [
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
 ]
-_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-_PUNCTUATION = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
-
-
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one space for every run of punctuation and white space, one spelling."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, _PUNCTUATION, " "), F.lit(" "))
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
-
-
-def digest(text: Column) -> Column:
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+# What makes a line a copyright line, in the syntax that Python's and DuckDB's patterns share; ``%`` is a year or placeholder.
+_CLAIMS = [
+    r"[Cc](?:opyright|OPYRIGHT)[ \t]*(?:\([Cc]\)|©|&copy;|%|by[ \t])",
+    r"[Cc]opyright:?[ \t]+(?:the[ \t]+)?[A-Z][A-Za-z.&-]*[ \t]*(?:[A-Z(,]|and[ \t]|contributors|[0-9]|$)",
+    r"(?:\([Cc]\)|&copy;)[ \t]*(?:[Cc](?:opyright|OPYRIGHT)|%)",
+    r"©",
+    r"[Aa](?:ll [Rr]ights [Rr]eserved|LL RIGHTS RESERVED)\.?[ \t]*$",
+]
+_YEAR = r"[:,]?[ \t]*(?:[\[<{(][ \t]*)?(?:[0-9]{4}|yyyy|YYYY|[Yy]ear|YEAR|[\[<{])"
+COPYRIGHT_LINE = r"^[ \t]*(?:[#*;%/-]+[ \t]*)?(?:[Pp]ortions[ \t]+)?(?:" + "|".join(c.replace("%", _YEAR) for c in _CLAIMS) + r")[^\n]*"
+_COPYRIGHT = re.compile(COPYRIGHT_LINE, re.M)
+_SIGNS = ("opyright", "OPYRIGHT", "(c)", "(C)", "©", "&copy;", "eserved", "RESERVED")  # one is in every such line
+_APART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+_ONE = {a.encode(): b.encode() for a, b in SPELLINGS if " " not in a}
+_SEVERAL = {tuple(a.encode().split()): b.encode() for a, b in SPELLINGS if " " in a}
+
+
+def canonical(text: str) -> bytes:
+    """Lower case, no copyright lines, one space for every run of punctuation and white space, one
+    spelling, in UTF-8; every word is looked at once."""
+    text = text.replace("\r\n", "\n")
+    if any(sign in text for sign in _SIGNS):
+        text = _COPYRIGHT.sub("", text)
+    words = [_ONE.get(w, w) for w in text.lower().encode().translate(_APART).split()]
+    for several, one in _SEVERAL.items():
+        if several[0] in words:
+            k, out = 0, []
+            while k < len(words):
+                hit = tuple(words[k : k + len(several)]) == several
+                out.append(one if hit else words[k])
+                k += len(several) if hit else 1
+            words = out
+    return b" ".join(words)
+
+
+def digest(text: str | None) -> str | None:
+    form = canonical(text) if text else b""
+    return hashlib.sha256(form).hexdigest() if form else None
+
+
+def with_digests(texts: DataFrame, key: str) -> DataFrame:
+    """``(key, digest)`` for every row of ``texts(key, text)``."""
+    small_batches(texts.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t.as_py()) for t in batch.column(1)], pa.string())], names=[key, "digest"])
+
+    picked = texts.select(key, "text")
+    return picked.mapInArrow(trimmed(read), f"{key} {picked.schema[key].dataType.simpleString()}, digest string")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``(digest, license_id)`` of a table ``(license_id, text)``, one row per digest."""
-    return known.select("license_id", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return with_digests(known, "license_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(documents: DataFrame, known: DataFrame) -> DataFrame:
@@ -124,7 +167,7 @@ def scan_licenses(documents: DataFrame, known: DataFrame) -> DataFrame:
     table_of = known_digests(known)
     if table_of.count() <= BROADCAST_ROWS:
         table_of = F.broadcast(table_of)
-    return documents.select("doc_id", digest(F.col("text")).alias("digest")).join(table_of, "digest", "left").select("doc_id", "digest", "license_id")
+    return with_digests(documents, "doc_id").join(table_of, "digest", "left").select("doc_id", "digest", "license_id")
 
 
 def bundled() -> list[tuple[str, str]]:
@@ -146,10 +189,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
-    out = rf"concat(' ', regexp_replace({out}, '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' ')"
+    """The same form another way: words stand between two spaces, so that neighbours share none, and
+    spellings are replaced one by one."""
+    lines = COPYRIGHT_LINE.replace("'", "''")
+    out = rf"regexp_replace(replace({text}, chr(13) || chr(10), chr(10)), '(?m){lines}', '', 'g')"
+    out = rf"concat('  ', regexp_replace(lower({out}), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', '  ', 'g'), '  ')"
     for a, b in SPELLINGS:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
+        out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
     return f"nullif(trim(regexp_replace({out}, ' +', ' ', 'g')), '')"
 
 
