@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def test_extraction_on_generated_pages():
         page, labels = html_extract.training_page(rng)
         blocks = html_extract.blocks_of(page)
         assert len(blocks) == len(labels)
-        z = html_extract._scores([html_extract.features(blocks, words)], weights)[0] if blocks else np.zeros(0)
+        z = html_extract._scores([blocks], weights, words)[0] if blocks else np.zeros(0)
         wrong += int(((z > 0) != np.array(labels)).sum())
         total += len(labels)
     assert wrong / total < 0.02
@@ -79,6 +80,30 @@ def test_gradients_match_differences():
         assert grads[name][at] == pytest.approx((loss(more) - loss(less)) / 2e-2, rel=0.05, abs=5e-3)
 
 
+def test_long_and_deep_pages_in_bounded_memory(monkeypatch):
+    import resource
+
+    rng, weights, words = random.Random(5), html_extract.trained(), html_extract._Words()
+    short = [html_extract.training_page(rng)[0] for _ in range(63)]
+    alone = [html_extract.extract([p], weights, words)[0] for p in short]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = html_extract.extract(["<p>a</p>" * 200_000, *short], weights, words)
+    assert got[1:] == alone and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+    html_extract.extract(["<div>" * 50_000 + "x" + "</p>" * 50_000 + "<li>a</li>" * 1000], weights, words)
+    blocks = [html_extract.blocks_of(p) for p in short[:9]]
+    whole = html_extract._scores(blocks, weights, words)
+    monkeypatch.setattr(html_extract, "CELLS", 20)
+    for a, b in zip(whole, html_extract._scores(blocks, weights, words), strict=True):
+        assert a == pytest.approx(b, abs=1e-4)
+
+
+def test_pages_are_grouped_by_bytes():
+    sizes = [10, 0, 5_000_000, 1, 1, 9_000_000, 2] + [1] * 300
+    groups = list(html_extract.page_groups(pa.array([None if n == 0 else "x" * n for n in sizes])))
+    assert [k for lo, hi in groups for k in range(lo, hi)] == list(range(len(sizes)))
+    assert all(hi - lo <= 256 and (hi - lo == 1 or sum(sizes[lo:hi]) <= html_extract.HTML_BYTES) for lo, hi in groups)
+
+
 # --- WARC
 
 
@@ -102,6 +127,13 @@ def test_archives_read_back(spark):
     assert len(parts) > 2 and max(len(d) for _, d in parts) <= warc.CHUNK and b"".join(d for _, d in parts) == big.encode()
 
 
+def test_many_repeats_are_joined_alike(spark, sf_dir):
+    rows = [(i, "u", h) for i, h in [(1, "x" * 100), (2, "x" * 100), (2, "x" * 100), (None, "x" * 100), (3, "y" * 200), (4, "y" * 200), (5, "z" * 300), (6, None), (None, "w" * 150), (None, "w" * 150)]]
+    few, many = (Counter(map(tuple, warc.classify(pages(spark, rows), broadcast_rows=n).collect())) for n in (100, 0))
+    assert few == many and sum(few.values()) == len(rows)
+    assert all((r[1] is None) == (r[4] == "revisit" or r[0] == 6) for r in few)
+
+
 def test_archives_of_an_empty_table(spark):
     folder = new_path(spark, "warc-test")
     assert warc.read_chunks(warc.archive_pages(pages(spark, []), folder), folder).collect() == []
@@ -193,6 +225,56 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == brute_vectors(rows)
 
 
+def test_vectors_in_double_precision(spark):
+    near = [1.0, 0.2030599]  # cosines on both sides of 0.98, told apart in double precision only
+    rows = [(1, [1e-60, 0.0], 1), (2, [1e300, 0.0], 1), (3, [1e-310, 1e-312], 1), (4, [0.0, -0.0], 1), (5, [1.0, 1e-12], 1), (6, [1.0, 2e-12], 1), (7, near, 2), (8, [1.0, 0.0], 2), (9, [float("inf"), 0.0], 1), (10, [1.0, 0.2030587], 3), (11, [1.0, 0.0], 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame).collect()}
+    cos = lambda v: 1 / np.hypot(1.0, v)
+    assert len(got) == len(rows) and {got[i] for i in (1, 2, 3, 5, 6)} == {(4, 1)}
+    assert got[4] == (0, 4) and got[9] == (0, 9)
+    assert got[7][0] == int(cos(near[1]) >= 0.98) and got[10][0] == int(cos(0.2030587) >= 0.98)
+
+
+def planted_vectors(n, dim=64, seed=9):
+    """``n`` random vectors of one label, a fifth of them copies moved to cosines of 0.98 to 1, and a crowd of near copies."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    m = n // 5
+    y = rng.normal(size=(m, dim))
+    y -= (x[:m] * y).sum(1)[:, None] * x[:m]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    c = rng.uniform(0.98, 1.0, m)[:, None]
+    x[m : 2 * m] = c * x[:m] + np.sqrt(1 - c * c) * y
+    crowd = x[0] + rng.normal(size=(n // 20, dim)) * 0.005
+    x[2 * m : 2 * m + len(crowd)] = crowd
+    return x.astype(np.float32)
+
+
+def test_tree_keeps_the_links_and_cuts_the_work(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 128)
+    x = planted_vectors(4000)
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(frame).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.98
+    want = linked.sum(1) - 1
+    assert all(got[k] <= want[k] for k in got)  # no link is made up or counted twice
+    assert sum(got.values()) >= 0.99 * want.sum()
+    # recall of the pairs that cuts let meet, and how many pairs meet at all
+    tree, places = embedding_dedup.Tree(), unit @ embedding_dedup.directions(64)
+    tree.grow(places, 1.0)
+    meeting, kept = 0, np.zeros((len(x), len(x)), dtype=np.int8)
+    for _, rows, bits in tree.leaves(places):
+        free = (bits[:, None] & bits[None, :]) == 0
+        meeting += int(free.sum())
+        kept[np.ix_(rows, rows)] += free
+    assert kept.max() == 1 and kept[linked].mean() >= 0.99
+    assert meeting < 0.35 * len(x) ** 2
+
+
 def test_vectors_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinlake.llm import decontaminate, jaccard_join, licenses, packing, sharding, shingles, toxicity
 
@@ -95,13 +96,34 @@ def test_jaccard_families_chains_and_shared_passages(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == components(rows)
 
 
-def test_tokens_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+def test_full_filters_and_clashing_digests_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", (6, 6))
+    monkeypatch.setattr(jaccard_join, "SPLIT", 4)
     rng = np.random.default_rng(2)
     base = prose(rng, 80)
-    rows = list(enumerate([varied(rng, base, int(rng.integers(0, 5))) for _ in range(30)] + [prose(rng, 50) for _ in range(10)]))
-    got = jaccard_join.ngram_jaccard_components(documents(spark, rows)).collect()
-    assert Counter(tuple(r) for r in got) == components(rows)
+    rows = list(enumerate([varied(rng, base, int(rng.integers(0, 5))) for _ in range(30)] + [prose(rng, 50) for _ in range(10)] + ["", None]))
+    want = components(rows)
+    assert Counter(tuple(r) for r in jaccard_join.ngram_jaccard_components(documents(spark, rows)).collect()) == want
+
+    def narrow(h, at):  # a first digest of three bits, so that most sets share theirs
+        first, second = shingles.set_digests(h, at)
+        return np.where(first == 0, 0, (first & 7) + 1), second
+
+    def ids(h, at, clashes=np.zeros(0, np.int64)):
+        first, second = narrow(h, at)
+        return np.where(np.isin(first, clashes), second, first)
+
+    monkeypatch.setattr(jaccard_join, "set_digests", narrow)
+    monkeypatch.setattr(jaccard_join, "set_ids", ids)
+    assert Counter(tuple(r) for r in jaccard_join.ngram_jaccard_components(documents(spark, rows)).collect()) == want
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark):
+    x, y, z = "a b c d e f g", "other words stand here alone", "third text of five words"
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, x), (5, x), (5, y), (7, z), (7, z), (7, z), (8, z), (None, y), (None, z), (9, near), (3, near + " end"), (3, x + " unlike all that"), (4, ""), (4, None), (4, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one_of_each(documents(spark, rows)).collect())
+    assert got == Counter([(1, x), (5, y), (7, z), (3, near + " end"), (3, x + " unlike all that"), (4, ""), (4, None), (4, "")])
 
 
 def test_keep_one_of_each(spark):
@@ -161,6 +183,16 @@ def test_sharding_sizes_and_edges(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))  # a task run again deals the same
 
 
+def test_sharding_deals_equal_rows_out(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = sharding.shuffle_into_shards(sharding.measured(same), ["doc_id", "size", "text_crc32"], shards=3, rows_per_block=10).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(len(v) for v in slots.values()) == [1333, 1333, 1334]
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_sharding_empty(spark):
     assert sharding.shuffle_into_shards(sharding.measured(documents(spark, [])), ["doc_id", "size", "text_crc32"]).collect() == []
 
@@ -221,6 +253,23 @@ def test_decontamination_against_brute_force(spark):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(documents(spark, docs), bench).collect()} == clean
 
 
+def test_decontamination_of_long_texts_and_large_benchmarks(spark, monkeypatch):
+    """Texts of many pieces with windows over every seam, and a benchmark held against the texts in several scans."""
+    monkeypatch.setattr(decontaminate, "PIECES", (64, 16, 8))
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 40)
+    rng = np.random.default_rng(13)
+    items = [(k, prose(rng, n, 500)) for k, n in enumerate([30, 10, 9, 3, 25, 1])]
+    docs = [(1, None), (2, " ".join(prose(rng, 5, 500) + " " + items[k % 5][1] for k in range(60)))]
+    docs += [(10 + k, prose(rng, k, 500) + " " + items[0][1]) for k in range(0, 70)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(documents(spark, docs), bench)
+    assert Counter(tuple(r) for r in got.collect()) == brute_decontaminate(docs, items)
+    monkeypatch.undo()
+    long = " ".join(f"w{k % 977}" for k in range(1_000_000)) + " " + items[0][1]
+    got = decontaminate.decontaminate(documents(spark, [(1, long), (2, "x")]), bench.where("item_id = 0")).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_hit"]) for r in got} == {(1, 1_000_030, 30), (2, 1, 0)}
+
+
 def test_decontamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontaminate(documents(spark, EDGES[:8]), none).collect()
@@ -241,6 +290,32 @@ def test_license_variants_match(spark):
     assert licenses.scan_licenses(documents(spark, []), known).collect() == []
 
 
+def test_copyright_lines_and_neighbouring_spellings():
+    form = lambda t: licenses.canonical(t).decode()
+    claims = ["Copyright (c) 2020 Foo", "Copyright 2020 Foo", "(c) 2012 Bar", "© Foo", "Copyright Foo Inc. and contributors", "Copyright <YEAR> <HOLDER>", "COPYRIGHT (C) 1999 FOO", "# Copyright [yyyy] [name]", "All rights reserved.", "Portions Copyright: 2001 by Foo"]
+    assert [form(f"a\n{c}\nb") for c in claims] == ["a b"] * len(claims)
+    prose = ["copyright notice and this permission notice appear", "COPYRIGHT HOLDERS BE LIABLE", "(c) You must retain", "copyright license to reproduce", "All rights reserved by none"]
+    assert all(len(form(f"a\n{p}\nb").split()) == len(form(p).split()) + 2 > 4 for p in prose)
+    assert form("Licence, licence; LICENCE per cent per cent noncommercial") == "license license license percent percent non commercial"
+    isc = dict(licenses.KNOWN)["ISC"]
+    import textwrap
+
+    assert {licenses.digest("ISC License\n\nCopyright (c) 2020, Foo\n\n" + textwrap.fill(isc, w)) for w in range(30, 120)} == {licenses.digest("ISC License " + isc)}
+    assert len(licenses.canonical("word, " * 1_000_000)) == 5_000_000 - 1
+
+
+def test_license_sql_has_the_same_digests(spark, sf_dir, tmp_path):
+    import duckdb
+
+    texts = ["Licence, licence\nCopyright (c) 2020 Foo\r\nAll rights reserved.\nper cent per cent", "copyright notice and\nCOPYRIGHT HOLDERS", "É Ä straße", "", None, "!!", "(c) You must\n© me", "it's per cent of non-commercial noncommercial"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute("SELECT doc_id, digest, license_id FROM (" + licenses.OP7_SQL + ")").fetchall()}
+    got = {r["doc_id"]: (r["digest"], r["license_id"]) for r in licenses.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 # --- toxicity
 
 
