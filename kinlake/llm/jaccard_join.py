@@ -47,12 +47,13 @@ SLICES = 16
 FILTER_BITS = (16, 27)
 SEEN = 200_000
 SPLIT = 1024
-PIECE_BYTES = 1 << 20
+ROOT_SALTS = 16
+PIECE_BYTES = 1 << 19
 BUCKET_POSTINGS = 1_000_000
 FLUSH_POSTINGS = 500_000
 BLOCK_TOKENS = 100_000
 CHUNK = 256
-MATRIX_COLUMNS = 4096
+MATRIX_COLUMNS = 1024
 
 
 def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
@@ -558,14 +559,21 @@ def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.drop("bitmap"), stash(rooted, "jaccard-roots")
 
 
+def _least_of_component(least: DataFrame) -> DataFrame:
+    """``(__set, least)``: the least ``own`` in the component of each set of ``(set_id, own, root)``; a component's
+    sets are dealt over ``ROOT_SALTS`` keys."""
+    several = least.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1")
+    several = several.select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
+    salted = least.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(ROOT_SALTS)).cast("int"))
+    return salted.join(several, ["root", "salt"], "left").select(F.col("set_id").alias("__set"), F.when(F.col("least").isNull(), F.col("own")).otherwise(F.col("least")).alias("least"))
+
+
 def ngram_jaccard_components(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``documents(doc_id, text)``."""
     docs, roots = _joined(documents)
-    first = docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first")).join(roots, "set_id")
-    named = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_set = roots.join(named, "root").select(F.col("set_id").alias("__set"), "component_id")
-    return docs.join(of_set, (F.col("set_id") == F.col("__set")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    least = docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("own")).join(roots, "set_id")
+    return docs.join(_least_of_component(least), (F.col("set_id") == F.col("__set")) & (F.col("n") > 0), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -581,8 +589,7 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
     full = docs.where("n > 0")
     least = full.groupBy("set_id").agg(F.min(own).alias("own")).join(roots, "set_id")
-    leads = least.groupBy("root").agg(F.min("own").alias("lead"))
-    of_set = roots.join(leads, "root").select(F.col("set_id").alias("__set"), "lead")
+    of_set = _least_of_component(least).withColumnRenamed("least", "lead")
     key = ["doc_id", "text_a", "text_b"]
     renamed = [F.col(c).alias(f"__{c}") for c in key]
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_a")) & (F.xxhash64(F.lit(1), "text") == F.col("__text_b"))
