@@ -42,7 +42,7 @@ from kinlake.session import small_batches, stash, table, trimmed
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 150_000
+CACHE = 100_000
 WEIGHTS = (1.0, 0.2, 0.2)
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -42,7 +42,7 @@ DRIFT = 0.5
 EVIDENCE = 3.5
 PREFIXES = (7, 6, 5, 4)
 SIGNIFICANT = 1.0
-CACHE = 150_000
+CACHE = 60_000
 COUNTED_AT_ONCE = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
