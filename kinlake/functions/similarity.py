@@ -1,8 +1,8 @@
 """Field similarities and their combination.
 
 Levenshtein and Jaccard are built-in expressions.  Jaro-Winkler has no built-in; it
-runs as an Arrow function.  :func:`score_pairs` gives Jaro-Winkler and Jaccard distinct
-value pairs only, which a join then hands back to the record pairs.
+runs as an Arrow function.  :func:`score_pairs` scores distinct value pairs only, found
+in one pass over the pairs, which a join then hands back to the record pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from kinlake.functions.text import clean, words
+from kinlake.session import stash
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -59,7 +60,8 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 #: Similarities by name; each takes two cleaned columns and gives NULL when one is NULL.
 SIMILARITIES: dict[str, Callable[[Column, Column], Column]] = {"lv": levenshtein, "jaccard": token_jaccard, "jw": jaro_winkler}
 #: Those worth a table of distinct value pairs.
-MEMOISED = {"jw", "jaccard"}
+MEMOISED = {"jw", "jaccard", "lv"}
+VALUE_ROWS = 500_000
 
 
 def similarity(method: str, a: Column, b: Column) -> Column:
@@ -83,21 +85,31 @@ def pair_fields(pairs: DataFrame, records: DataFrame, fields: dict[str, str], ri
     return pairs.join(left, "i").join(right, "j")
 
 
-def _memoised(wide: DataFrame, c: str, method: str) -> DataFrame:
-    """Adds ``s_<c>`` by way of the distinct unordered value pairs (these similarities are symmetric)."""
+def _value_pairs(wide: DataFrame, names: list[str]) -> DataFrame:
+    """``(field, x, y)``: the distinct unordered value pairs of some fields, found in one pass over the pairs."""
+    each = [F.struct(F.lit(c).alias("field"), *(f(F.col(f"a_{c}"), F.col(f"b_{c}")).alias(n) for n, f in (("x", F.least), ("y", F.greatest)))) for c in names]
+    known = [F.when(F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull(), s) for c, s in zip(names, each, strict=True)]
+    return stash(wide.select(F.explode(F.array(*known)).alias("v")).where("v IS NOT NULL").select("v.*").distinct(), "value-pairs")
+
+
+def _with_memoised(wide: DataFrame, values: DataFrame, c: str, method: str) -> DataFrame:
+    """Adds ``s_<c>`` from the scores of distinct value pairs (these similarities are symmetric), which
+    are broadcast when their counted rows are within ``VALUE_ROWS``."""
+    scored = stash(values.where(F.col("field") == c).select(F.col("x").alias("__x"), F.col("y").alias("__y"), similarity(method, F.col("x"), F.col("y")).alias(f"s_{c}")), "value-scores")
     a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
-    wide = wide.withColumns({"__x": F.least(a, b), "__y": F.greatest(a, b)})
-    wide = wide.withColumns({k: F.when(a.isNotNull() & b.isNotNull(), F.col(k)) for k in ("__x", "__y")})
-    values = wide.where("__x IS NOT NULL").select("__x", "__y").distinct().withColumn(f"s_{c}", similarity(method, F.col("__x"), F.col("__y")))
-    return wide.join(values, ["__x", "__y"], "left").drop("__x", "__y")
+    both = a.isNotNull() & b.isNotNull()
+    on = (F.when(both, F.least(a, b)) == F.col("__x")) & (F.when(both, F.greatest(a, b)) == F.col("__y"))
+    return wide.join(F.broadcast(scored) if scored.count() <= VALUE_ROWS else scored, on, "left").drop("__x", "__y")
 
 
 def score_pairs(pairs: DataFrame, records: DataFrame, fields: dict[str, str], weights: dict[str, float] | None = None, rid: str = "rid") -> DataFrame:
     """``(i, j, s_<field>..., score)``; a field that either end lacks is left out of the mean."""
     wide = pair_fields(pairs.select("i", "j"), records, fields, rid)
+    memoised = [c for c, method in fields.items() if method in MEMOISED]
+    values = _value_pairs(wide, memoised) if memoised else None
     for c, method in fields.items():
-        if method in MEMOISED:
-            wide = _memoised(wide, c, method)
+        if values is not None and c in memoised:
+            wide = _with_memoised(wide, values, c, method)
         else:
             wide = wide.withColumn(f"s_{c}", similarity(method, F.col(f"a_{c}"), F.col(f"b_{c}")))
     scores = [F.col(f"s_{c}") for c in fields]
