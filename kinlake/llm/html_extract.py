@@ -275,6 +275,7 @@ def _scores(pages: list[list[Block]], w: dict[str, np.ndarray], words: _Words) -
     t, b = max(lengths), len(pages)
     step = max(1, CELLS // b)
     out = [np.zeros(n, np.float32) for n in lengths]
+    whole = [features(p, words) for p in pages] if t <= step else None  # one window: both directions read the same vectors
     for side, part in (("f", w["out"][:HIDDEN, 0]), ("r", w["out"][HIDDEN:, 0])):
         state = (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
         for lo in range(0, t, step):
@@ -282,7 +283,7 @@ def _scores(pages: list[list[Block]], w: dict[str, np.ndarray], words: _Words) -
             for k, (page, n) in enumerate(zip(pages, lengths, strict=True)):
                 first, end = (lo, min(n, lo + step)) if side == "f" else (max(0, n - lo - step), n - lo)
                 if first < end:
-                    got = features(page[first:end], words, first, n)
+                    got = whole[k] if whole else features(page[first:end], words, first, n)
                     x[: end - first, k] = got if side == "f" else got[::-1]
             states, state = _forward(x, w, side, state=state)
             z = states @ part
