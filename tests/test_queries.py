@@ -55,14 +55,15 @@ def test_entry_points(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
-def test_entry_without_the_corpus_operators(monkeypatch):
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "kinlake.llm"])
+def test_entry_without_the_corpus_operators(monkeypatch, gone):
     import builtins
 
     real = builtins.__import__
 
     def without(name, *args, **kwargs):
-        if name == "corpus_pipeline":
-            raise ModuleNotFoundError("No module named 'corpus_pipeline'", name="corpus_pipeline")
+        if name == gone:
+            raise ModuleNotFoundError(f"No module named '{gone}'", name=gone)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", without)
