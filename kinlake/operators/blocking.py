@@ -167,30 +167,66 @@ def lsh_pairs(signatures: DataFrame, bands: int = 16, rows: int = 8, bucket_cap:
 # --- canopies
 
 
-def canopies(edges: DataFrame, nodes: DataFrame, tight: float, loose: float, limit: int = 5_000) -> DataFrame:
+CANOPY_LIMIT = 5_000
+QUANTILES = [round(0.50 + 0.04 * k, 2) for k in range(13)]
+
+
+def opened(rows):
+    """The members of each canopy, from one group's ``(i, j, cos, tight)`` rows: in id order, a record
+    not yet removed opens one of all its rows (removed ones too); those within ``tight`` are removed."""
+    gone = set()
+    for i, near_by in rows.sort_values(["i", "j"]).groupby("i", sort=True):
+        if i in gone:
+            continue
+        near_by = near_by.dropna(subset=["j"])
+        yield sorted({int(i), *near_by["j"].astype("int64")})
+        gone.update(near_by.loc[near_by["cos"] >= near_by["tight"], "j"].astype("int64"))
+
+
+def _canopy_rows(edges: DataFrame, nodes: DataFrame, grid: list[tuple[float, float]], limit: int) -> DataFrame:
+    """``(loose, tight, i, j, cos)``: for every pair of bounds, each record with its neighbours within ``loose``."""
+    guard(nodes.count(), limit)
+    bounds = F.explode(F.array(*(F.struct(F.lit(a).alias("loose"), F.lit(b).alias("tight")) for a, b in grid))).alias("b")
+    near = edges.where(F.col("cos") >= min(a for a, _ in grid))
+    stubs = near.select("i", "j", "cos").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos"))
+    stubs = stubs.select("*", bounds).select("i", "j", "cos", "b.*").where("cos >= loose")
+    return nodes.select(F.col("rid").alias("i"), bounds).select("i", "b.*").join(stubs, ["i", "loose", "tight"], "left")
+
+
+def canopies(edges: DataFrame, nodes: DataFrame, tight: float, loose: float, limit: int = CANOPY_LIMIT) -> DataFrame:
     """Canopy pairs from cosines ``edges(i, j, cos)`` of at least ``loose``.
 
     In id order, a record not yet removed opens a canopy of all records within ``loose``
     (removed ones too), all paired; those within ``tight`` are removed.  The scan is
     sequential, so it runs inside one group and refuses more than ``limit`` records.
     """
-    guard(nodes.count(), limit)
-    near = edges.where(F.col("cos") >= loose)
-    stubs = near.select("i", "j", "cos").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos"))
-    packed = nodes.select(F.col("rid").alias("i")).join(stubs, "i", "left")
 
     def scan(rows):
         import pandas as pd
 
-        rows = rows.sort_values(["i", "j"])
-        gone, out = set(), set()
-        for i, near_by in rows.groupby("i", sort=True):
-            if i in gone:
-                continue
-            near_by = near_by.dropna()
-            members = sorted({int(i), *near_by["j"].astype("int64")})
-            out.update((a, b) for k, a in enumerate(members) for b in members[k + 1 :])
-            gone.update(near_by.loc[near_by["cos"] >= tight, "j"].astype("int64"))
+        out = {(a, b) for members in opened(rows) for k, a in enumerate(members) for b in members[k + 1 :]}
         return pd.DataFrame(sorted(out), columns=["i", "j"], dtype="int64")
 
-    return packed.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(scan, "i long, j long")
+    return _canopy_rows(edges, nodes, [(loose, tight)], limit).groupBy("loose").applyInPandas(scan, "i long, j long")
+
+
+def tune_canopies(edges: DataFrame, nodes: DataFrame, pool: DataFrame, budget: int, limit: int = CANOPY_LIMIT) -> DataFrame:
+    """``(loose, tight, pairs)``: the inner bound, of the quantiles ``QUANTILES`` of the pool's cosines, whose
+    canopies' pairs (counted with overlaps) come closest to the budget; the smallest of several.
+
+    ``tight`` is 0.05 above ``loose``, 0.99 at most.  Bounds are scanned side by side, one task each.
+    Without a pool no bound exists and no row comes back.
+    """
+    found = pool.agg(F.percentile("score", QUANTILES).alias("q")).first()["q"]
+    if not found:
+        return pool.sparkSession.createDataFrame([], "loose double, tight double, pairs long")
+    grid = [(q, min(0.99, q + 0.05)) for q in sorted(set(found))]
+
+    def count(rows):
+        import pandas as pd
+
+        total = sum(len(m) * (len(m) - 1) // 2 for m in opened(rows))
+        return pd.DataFrame({"loose": [rows["loose"].iloc[0]], "tight": [rows["tight"].iloc[0]], "pairs": [total]})
+
+    counted = _canopy_rows(edges, nodes, grid, limit).groupBy("loose").applyInPandas(count, "loose double, tight double, pairs long")
+    return counted.orderBy(F.abs(F.col("pairs") - budget), "loose").limit(1)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from kinlake.operators.blocking import undirect
 from kinlake.operators.ordering import global_rank
+from kinlake.session import stash
 
 INSURANCE = 5
 COMMUNITY_CAP = 200
@@ -67,12 +68,42 @@ def tune_alpha(stubs: DataFrame, budget: int, alphas: list[float] | None = None)
     return alpha_counts(stubs, alphas).orderBy(F.abs(F.col("pairs") - budget), "alpha").limit(1)
 
 
-def align(pairs: DataFrame, pool: DataFrame, budget: int) -> DataFrame:
+def align(pairs: DataFrame, pool: DataFrame, budget: int, tie: str | None = None) -> DataFrame:
     """Exactly ``budget`` pairs if the pool has as many: the lowest scores are trimmed, the
-    best pool pairs that are missing are added."""
+    best pool pairs that are missing are added.
+
+    Equal scores are ordered by the column ``tie`` of ``pairs``, if given (largest first, NULL last).
+    """
     extra = pool.join(pairs, ["i", "j"], "left_anti")
-    both = pairs.select("i", "j", "score", F.lit(0).alias("turn")).unionByName(extra.select("i", "j", "score", F.lit(1).alias("turn")))
-    return top_pairs(both, budget, F.col("turn"), F.desc("score")).select("i", "j", "score")
+    second = F.col(tie) if tie else F.lit(None)
+    both = pairs.select("i", "j", "score", second.cast("double").alias("tie"), F.lit(0).alias("turn")).unionByName(extra.select("i", "j", "score", F.lit(None).cast("double").alias("tie"), F.lit(1).alias("turn")))
+    return top_pairs(both, budget, F.col("turn"), F.desc("score"), F.desc_nulls_last("tie")).select("i", "j", "score")
+
+
+def heaviest_edges(edges: DataFrame, pool: DataFrame, budget: int, weight: str = "js", cosines: DataFrame | None = None) -> DataFrame:
+    """Cardinality pruning: the ``budget`` edges of largest ``weight``, ties by cosine, topped up
+    from the pool where the graph has fewer.
+
+    ``cosines(i, j, cos)`` are those of the edges; without it the pool's, other edges come last among equals.
+    """
+    known = pool.select("i", "j", F.col("score").alias("cos")) if cosines is None else cosines
+    weighed = edges.select("i", "j", F.col(weight).alias("score")).join(known.select("i", "j", "cos"), ["i", "j"], "left")
+    return align(weighed, pool, budget, "cos")
+
+
+def _collected(cosines: DataFrame, stubs: DataFrame, communities: DataFrame, cap: int, insurance: int, *by: str) -> DataFrame:
+    """The pairs of :func:`collective` before they are aligned, for each value of ``by`` in ``communities``."""
+    named = lambda end: communities.select(*by, F.col("rid").alias(end), F.col("comm").alias(f"c_{end}"))
+    size = communities.groupBy(*by, "comm").agg(F.count("*").alias("size")).withColumnRenamed("comm", "c_i")
+    within = cosines.join(named("i"), "i").join(named("j"), [*by, "j"]).where("c_i = c_j").join(size, [*by, "c_i"])
+    small = within.where(F.col("size") <= cap).select(*by, "i", "j", F.col("cos").alias("score"))
+    large = within.where(F.col("size") > cap).select(*by, "i", "j", "cos")
+    large = large.unionByName(large.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "cos"))
+    best = large.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy(F.desc("cos"), "j"))).where(F.col("r") <= cap)
+    across = stubs.join(named("i"), "i").join(named("j"), [*by, "j"]).where("c_i != c_j")
+    across = across.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy("rank"))).where(F.col("r") <= insurance)
+    every = small.unionByName(best.select(*by, "i", "j", F.col("cos").alias("score"))).unionByName(across.select(*by, "i", "j", F.col("cos").alias("score")))
+    return every.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "score").groupBy(*by, "i", "j").agg(F.max("score").alias("score"))
 
 
 def collective(cosines: DataFrame, stubs: DataFrame, communities: DataFrame, budget: int, cap: int = COMMUNITY_CAP, insurance: int = INSURANCE) -> DataFrame:
@@ -81,17 +112,7 @@ def collective(cosines: DataFrame, stubs: DataFrame, communities: DataFrame, bud
 
     ``cosines(i, j, cos)`` has ``i < j``; ``communities(rid, comm)``.
     """
-    named = lambda end: communities.select(F.col("rid").alias(end), F.col("comm").alias(f"c_{end}"))
-    size = communities.groupBy("comm").agg(F.count("*").alias("size")).withColumnRenamed("comm", "c_i")
-    within = cosines.join(named("i"), "i").join(named("j"), "j").where("c_i = c_j").join(size, "c_i")
-    small = within.where(F.col("size") <= cap).select("i", "j", F.col("cos").alias("score"))
-    large = within.where(F.col("size") > cap).select("i", "j", "cos")
-    large = large.unionByName(large.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos"))
-    best = large.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))).where(F.col("r") <= cap)
-    across = stubs.join(named("i"), "i").join(named("j"), "j").where("c_i != c_j")
-    across = across.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("rank"))).where(F.col("r") <= insurance)
-    chosen = small.unionByName(best.select("i", "j", F.col("cos").alias("score"))).unionByName(across.select("i", "j", F.col("cos").alias("score")))
-    return align(undirect(chosen, "score"), pool_pairs(stubs), budget)
+    return align(_collected(cosines, stubs, communities, cap, insurance), pool_pairs(stubs), budget)
 
 
 def waterfill(stubs: DataFrame, budget: int) -> DataFrame:
@@ -169,13 +190,50 @@ def posterior(x: Column, m: dict[str, float]) -> Column:
 
 
 def permuted_allocations(allocation: DataFrame, replicates: int, seed: int = 20261016) -> DataFrame:
-    """``(replicate, i, n)``: the profile dealt out anew in every replicate, in one query."""
-    numbered = global_rank(allocation, [F.col("i")], "at").withColumn("at", F.col("at") + 1)
-    many = numbered.select("i", "at", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    shuffled = many.withColumn("at", F.row_number().over(Window.partitionBy("replicate").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "i")), "i")))
+    """``(replicate, i, n)``: the profile dealt out anew in every replicate, in one query.
+
+    All replicates are ranked in one range-partitioned order; each has as many rows as the profile.
+    """
+    numbered = stash(global_rank(allocation.select("i", "n"), [F.col("i")], "at"), "profile")
+    size = max(1, numbered.count())
+    many = numbered.select("i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    drawn = many.withColumn("drawn", F.md5(F.concat_ws("|", F.lit(seed), "replicate", "i")))
+    shuffled = global_rank(drawn, [F.col("replicate"), F.col("drawn"), F.col("i")], "at").withColumn("at", F.col("at") % size)
     return shuffled.join(numbered.select("at", "n"), "at").select("replicate", "i", "n")
 
 
+def permuted_communities(communities: DataFrame, replicates: int, seed: int = 20261016) -> DataFrame:
+    """``(replicate, rid, comm)``: the labels dealt out anew in every replicate; sizes stay."""
+    dealt = permuted_allocations(communities.select(F.col("rid").alias("i"), F.col("comm").alias("n")), replicates, seed)
+    return dealt.select("replicate", F.col("i").alias("rid"), F.col("n").alias("comm"))
+
+
+def community_null(cosines: DataFrame, stubs: DataFrame, permuted: DataFrame, gold: DataFrame, budget: int, replicates: int, cap: int = COMMUNITY_CAP, insurance: int = INSURANCE) -> DataFrame:
+    """``(replicate, pc)``: pair completeness of :func:`collective` under each replicate's labels.
+
+    All replicates are chosen, aligned and judged together; a replicate's budget is a span of
+    one global order.
+    """
+    each = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    chosen = stash(_collected(cosines, stubs, permuted, cap, insurance, "replicate"), "permuted-pairs")
+    extra = pool_pairs(stubs).select(each, "i", "j", "score").join(chosen, ["replicate", "i", "j"], "left_anti")
+    both = chosen.withColumn("turn", F.lit(0)).unionByName(extra.withColumn("turn", F.lit(1)))
+    ranked = stash(global_rank(both, [F.col("replicate"), F.col("turn"), F.desc("score"), F.col("i"), F.col("j")], "at"), "permuted-order")
+    first = ranked.groupBy("replicate").agg(F.min("at").alias("first"))
+    kept = ranked.join(F.broadcast(first), "replicate").where(F.col("at") - F.col("first") < budget)
+    hits = kept.join(gold.select("i", "j"), ["i", "j"], "left_semi").groupBy("replicate").agg(F.count("*").alias("hits"))
+    total = gold.agg(F.count("*").alias("gold")).select(each, "gold")
+    return total.join(hits, "replicate", "left").select("replicate", F.when(F.col("gold") > 0, F.coalesce("hits", F.lit(0)) / F.col("gold")).otherwise(0.0).alias("pc"))
+
+
+def community_test(cosines: DataFrame, stubs: DataFrame, communities: DataFrame, gold: DataFrame, budget: int, replicates: int, cap: int = COMMUNITY_CAP, insurance: int = INSURANCE) -> DataFrame:
+    """One row ``(observed, null_mean, null_sd, p)``: do the communities matter, or only their sizes?"""
+    null = community_null(cosines, stubs, permuted_communities(communities, replicates), gold, budget, replicates, cap, insurance)
+    seen = completeness(collective(cosines, stubs, communities, budget, cap, insurance), gold).select(F.col("pc").alias("observed"))
+    many = stash(null, "community-null").select("pc", F.lit(seen.first()["observed"]).alias("observed"))
+    return many.agg(F.first("observed").alias("observed"), F.avg("pc").alias("null_mean"), F.stddev_samp("pc").alias("null_sd"), ((1 + F.count_if(F.col("pc") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
+
+
 def verdict(gain: float, p: float) -> str:
     return "dead" if gain <= 0 else "weak" if p >= 0.05 else "alive"
 

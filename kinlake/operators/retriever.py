@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.functions.text import HASH_DIM, hashed_ngrams
+from kinlake.operators import truth
 from kinlake.operators.blocking import undirect
-from kinlake.operators.budget import k_for_budget
+from kinlake.operators.budget import completeness, k_for_budget
 from kinlake.operators.neighbors import knn
+from kinlake.operators.ordering import global_rank
+from kinlake.session import stash
 
 HIDDEN, OUT = 128, 64
 LEAST_PAIRS, SAMPLE_PAIRS = 4, 20_000
@@ -89,3 +92,30 @@ def block_embed(records: DataFrame, text: str, budget: int, gold: DataFrame | No
     k = k_for_budget(budget, records.count())
     stubs = knn(project(vectors, trained(vectors, gold) if gold is not None else None), k, positive=False)
     return undirect(stubs.select("i", "j")), k
+
+
+def heldout_recall(records: DataFrame, known: DataFrame, k: int, text: str = "text", test_share: float = 0.3, seed: int = SEED) -> DataFrame:
+    """One row: recall of the nearest ``k`` on the gold pairs of entities that the projection wasn't trained on.
+
+    ``floor(test_share * entities)`` of them, one at least, are held out, in hashed order of
+    ``known(rid, truth)``; neighbours are sought among all records.  Refuses fewer than two
+    entities, fewer than ``LEAST_PAIRS`` training pairs, and no test pairs.
+    """
+    entities = known.where("truth IS NOT NULL").select("truth").distinct()
+    total = entities.count()
+    if total < 2:
+        raise ValueError("held-out recall needs at least two entities")
+    held = max(1, int(test_share * total))
+    split = global_rank(entities, [truth.shuffled(seed, "truth"), F.col("truth")], "at").select("truth", (F.col("at") < held).alias("test"))
+    ends = known.join(split, "truth").select(F.col("rid").alias("i"), "test")
+    gold = stash(truth.gold_pairs(known).join(ends, "i").select("i", "j", "test"), "held-out-gold")
+    train, test = (gold.where(F.col("test") == flag).select("i", "j") for flag in (False, True))
+    n_train, n_test = train.count(), test.count()
+    if n_train < LEAST_PAIRS:
+        raise ValueError(f"held-out recall needs at least {LEAST_PAIRS} training pairs: {n_train}")
+    if not n_test:
+        raise ValueError("held-out recall needs pairs of the entities held out")
+    vectors = record_vectors(records, text)
+    pairs = stash(undirect(knn(project(vectors, trained(vectors, train, seed)), k, positive=False).select("i", "j")), "held-out-pairs")
+    counts = {"n_train_pairs": n_train, "n_test_pairs": n_test, "n_train_entities": total - held, "n_test_entities": held}
+    return completeness(pairs, test).select(F.col("pc").alias("recall"), F.lit(k).cast("long").alias("k"), F.col("pairs").alias("n_pairs"), *(F.lit(v).cast("long").alias(c) for c, v in counts.items()))

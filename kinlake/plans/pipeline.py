@@ -184,8 +184,9 @@ def budget_lab(texts: DataFrame, known: DataFrame, replicates: int = 19, ks: tup
     chosen = budget.waterfill(pool_test.select("i", "j", "rank", "value"), spent)
     profile_of = metrics.degrees(chosen, test).select(F.col("rid").alias("i"), F.col("degree").alias("n"))
     null = []
-    for r in budget.permuted_allocations(profile_of, replicates).select("replicate").distinct().orderBy("replicate").collect():
-        one = budget.permuted_allocations(profile_of, replicates).where(F.col("replicate") == r["replicate"]).select("i", "n")
+    permuted = stash(budget.permuted_allocations(profile_of, replicates), "lab-permuted")
+    for r in range(1, replicates + 1):
+        one = permuted.where(F.col("replicate") == r).select("i", "n")
         null.append(budget.completeness(budget.by_allocation(pool_test.select("i", "j", "value"), one, spent), gold_test).first()["pc"] - at_star["fixed_k"][0])
     gain = at_star["waterfill"][0] - at_star["fixed_k"][0]
     p = (1 + sum(x >= gain for x in null)) / (len(null) + 1)

@@ -10,6 +10,7 @@ from kinlake.operators import blocking as B
 from kinlake.operators.ordering import global_rank
 from kinlake.operators.truth import gold_pairs
 from kinlake.plans.entries import query
+from kinlake.plans.q_budget import B_, PAIRS, STUBS, stubs
 from kinlake.plans.pipeline import Config, plan
 from kinlake.session import stash, table
 
@@ -123,6 +124,17 @@ def cep_top(spark: SparkSession, sf: str) -> DataFrame:
     return _meta(spark, sf).orderBy(F.desc("cbs"), "i", "j").limit(1000).select("i", "j", "cbs")
 
 
+@query(
+    f"""WITH {POSTINGS}, q AS (WITH {STUBS}, {PAIRS} SELECT i, j, score FROM q), c AS (SELECT e.i, e.j, e.cbs / (x.size + y.size - e.cbs) AS score, q.score AS cos FROM e JOIN s x ON e.i = x.rid JOIN s y ON e.j = y.rid LEFT JOIN q ON e.i = q.i AND e.j = q.j),
+u AS (SELECT i, j, score, cos, 0 AS turn FROM c UNION ALL SELECT q.i, q.j, q.score, NULL, 1 FROM q ANTI JOIN c ON q.i = c.i AND q.j = c.j)
+SELECT i, j, round(score, 6) AS score FROM u ORDER BY turn, u.score DESC, cos DESC NULLS LAST, i, j LIMIT {B_}"""
+)
+def cep_js_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """The heaviest edges by Jaccard, aligned to the budget by the vectors of equal ids."""
+    pool = stash(budget.pool_pairs(stubs(spark, sf)))
+    return budget.heaviest_edges(stash(_meta(spark, sf)), pool, B_).withColumn("score", F.round("score", 6))
+
+
 _PERMS = ", ".join(f"list_min(list_transform(b, lambda x: (x * {2 * k + 1} + {7919 * k * k + 104729}) % 2147483647))" for k in range(128))
 _BANDS = ", ".join(f"'{b}-' || array_to_string(sig[{b * 8 + 1}:{b * 8 + 8}], '-')" for b in range(16))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlake.operators import blocking as B
 from kinlake.operators import budget, metrics, truth
 from kinlake.operators.neighbors import knn
-from kinlake.operators.retriever import block_embed
+from kinlake.operators.retriever import block_embed, heldout_recall as heldout
 from kinlake.plans.entries import query
 from kinlake.session import stash, table
 
@@ -179,3 +179,27 @@ def permutation_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Nine shuffles of an allocation profile: each keeps its multiset."""
     allocation = vectors(spark, sf).select(F.col("rid").alias("i"), (1 + F.col("rid") % 12).alias("n"))
     return budget.permuted_allocations(allocation, 9)
+
+
+@query()
+def canopy_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    """The inner bound whose canopies come closest to the budget."""
+    v = vectors(spark, sf)
+    edges = stash(budget.pool_pairs(knn(v, 10**6)).withColumnRenamed("score", "cos"))
+    return B.tune_canopies(edges, v.select("rid"), budget.pool_pairs(stubs(spark, sf)), B_)
+
+
+@query()
+def community_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine shuffles of communities, each of two labels, judged on pairs of equal labels."""
+    v = vectors(spark, sf)
+    every = stash(budget.pool_pairs(knn(v, 10**6, positive=False)).withColumnRenamed("score", "cos"))
+    communities = v.where("truth IS NOT NULL").select("rid", F.floor(F.col("truth") / 2).alias("comm"))
+    return budget.community_test(every, stubs(spark, sf), communities, stash(truth.gold_pairs(v)), 20_000, 9)
+
+
+@query()
+def heldout_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Learned retrieval of part records, judged on entities that it wasn't trained on."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("rid"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.concat_ws("|", "p_name", "p_brand").alias("truth"))
+    return heldout(p, p.select("rid", "truth"), 10)
