@@ -42,10 +42,15 @@ def pool_stubs(spark: SparkSession, sf: str) -> DataFrame:
     return stubs(spark, sf).select("i", "j", F.round("cos", 6).alias("cos"), "rank")
 
 
-@query(f"WITH {STUBS}, k AS (SELECT vec_id AS rid FROM embeddings WHERE label < 5) SELECT least(i, j) AS i, greatest(i, j) AS j, round(max(cos), 6) AS score FROM s WHERE rank <= 20 AND i IN (SELECT rid FROM k) AND j IN (SELECT rid FROM k) GROUP BY 1, 2")
+LABELS = "n AS (SELECT label, count(*) AS size, md5(concat_ws('|', '42', label)) AS h FROM embeddings WHERE label IS NOT NULL GROUP BY label), t AS (SELECT label FROM (SELECT label, coalesce(sum(size) OVER (ORDER BY h, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) WHERE before < 0.7 * (SELECT sum(size) FROM n))"
+
+
+@query(f"WITH {STUBS}, {LABELS}, k AS (SELECT vec_id AS rid FROM embeddings WHERE label IN (SELECT label FROM t)) SELECT least(i, j) AS i, greatest(i, j) AS j, round(max(cos), 6) AS score FROM s WHERE rank <= 20 AND i IN (SELECT rid FROM k) AND j IN (SELECT rid FROM k) GROUP BY 1, 2")
 def fixed_k(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 20 neighbours, of the records with the first five labels."""
-    return _out(budget.fixed_k(stubs(spark, sf), 20, vectors(spark, sf).where("truth < 5").select("rid")))
+    """The first 20 neighbours among all records, of the training records of a split by label."""
+    v = vectors(spark, sf)
+    train = truth.record_split(v).where("part = 'train'").select("truth")
+    return _out(budget.fixed_k(stubs(spark, sf), 20, v.join(train, "truth", "left_semi").select("rid")))
 
 
 @query(f"WITH {STUBS}, {PAIRS} SELECT i, j, round(score, 6) AS score FROM q ORDER BY q.score DESC, i, j LIMIT {B_}")
@@ -88,13 +93,13 @@ def k_star_tuning(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {STUBS}, {PAIRS}, c AS (SELECT i, j, score FROM q WHERE (i + j) % 7 = 0), e AS (SELECT *, 0 AS turn FROM c UNION ALL SELECT q.*, 1 FROM q ANTI JOIN c ON q.i = c.i AND q.j = c.j)
+    f"""WITH {STUBS}, {PAIRS}, c AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(cos) AS score FROM s WHERE rank <= 3 GROUP BY 1, 2), e AS (SELECT *, 0 AS turn FROM c UNION ALL SELECT q.*, 1 FROM q ANTI JOIN c ON q.i = c.i AND q.j = c.j)
 SELECT i, j, round(score, 6) AS score FROM e ORDER BY turn, e.score DESC, i, j LIMIT {B_}"""
 )
 def align_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """Some of the pool's pairs, padded from the pool to the budget."""
-    pool = stash(budget.pool_pairs(stubs(spark, sf)))
-    return _out(budget.align(pool.where("(i + j) % 7 = 0"), pool, B_))
+    """Each record's first three neighbours, trimmed or padded from the pool to the budget."""
+    s = stubs(spark, sf)
+    return _out(budget.align(budget.fixed_k(s, 3), budget.pool_pairs(s), B_))
 
 
 @query(

@@ -97,7 +97,7 @@ def raw_file_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT page_id, lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(page_id AS VARCHAR), 5, '0') AS n FROM pages WHERE page_id < 100000)
+    """WITH t AS (SELECT page_id, lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0') AS n FROM pages)
 SELECT page_id, 'https://ar5iv.org/html/' || n || 'v2' AS bare, 'https://ar5iv.org/html/' || n AS abs, 'https://ar5iv.org/html/' || n AS pdf, CAST(NULL AS VARCHAR) AS other FROM t"""
 )
 def paper_url(spark: SparkSession, sf: str) -> DataFrame:
