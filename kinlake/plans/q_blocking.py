@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlake.functions import text as T
 from kinlake.operators import blocking as B
+from kinlake.operators import budget
 from kinlake.operators.ordering import global_rank
 from kinlake.operators.truth import gold_pairs
 from kinlake.plans.entries import query
