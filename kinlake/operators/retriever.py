@@ -88,7 +88,7 @@ def project(vectors: DataFrame, model: Projection | None) -> DataFrame:
 
 def block_embed(records: DataFrame, text: str, budget: int, gold: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Pairs of each record and its nearest ``k``, and the ``k`` used; ``k`` follows from the budget."""
-    vectors = record_vectors(records, text)
+    vectors = stash(record_vectors(records, text), "record-vectors")
     k = k_for_budget(budget, records.count())
     stubs = knn(project(vectors, trained(vectors, gold) if gold is not None else None), k, positive=False)
     return undirect(stubs.select("i", "j")), k
@@ -115,7 +115,7 @@ def heldout_recall(records: DataFrame, known: DataFrame, k: int, text: str = "te
         raise ValueError(f"held-out recall needs at least {LEAST_PAIRS} training pairs: {n_train}")
     if not n_test:
         raise ValueError("held-out recall needs pairs of the entities held out")
-    vectors = record_vectors(records, text)
+    vectors = stash(record_vectors(records, text), "record-vectors")
     pairs = stash(undirect(knn(project(vectors, trained(vectors, train, seed)), k, positive=False).select("i", "j")), "held-out-pairs")
     counts = {"n_train_pairs": n_train, "n_test_pairs": n_test, "n_train_entities": total - held, "n_test_entities": held}
     return completeness(pairs, test).select(F.col("pc").alias("recall"), F.lit(k).cast("long").alias("k"), F.col("pairs").alias("n_pairs"), *(F.lit(v).cast("long").alias(c) for c, v in counts.items()))
