@@ -31,6 +31,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -67,59 +68,59 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ0-9!-/:-@\[-`{-~ \t\n\r\x0b\x0c]*\Z")
 _UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r\x0b\x0c]+")
 _MARK = "<|"  # of special tokens
-_WORD_END = "</w>"
+_PROBE = "It's a DON'T'll x1234,.;- 12-3 (Ünïted) ßtraße\t \n'' 're " + "".join(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+
+
+class _Words(dict):
+    """Ids of words as bytes, in two generations of a bounded number each: words still in use move on."""
+
+    def __init__(self, tokenizer) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.tokens = tokenizer.model.tokenize
+        signs = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes_as_signs = {k: signs(chr(k))[0][0] for k in range(0xC0, 0x100)}  # the model reads a letter's bytes as signs
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.tokens(word if word.isascii() else word.translate(self.bytes_as_signs))
+            ids = pack_ids(f"<{len(found)}I", *[t.id for t in found])
+        if len(self) >= CACHE:
+            self.older = self.copy()
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class WordIds:
     """Ids of texts, by a bounded cache of the ids of their words.
 
     This tokenizer splits a text into words before anything else.  Plain texts are
-    split here in the same way, and only words not seen lately go through the
-    tokenizer, many at a time: its tokens say where a word ends.  All other texts go
-    through it whole.
+    split here in the same way, and only words not seen lately go to the tokenizer's
+    model, each by itself.  All other texts go through the tokenizer whole, as all texts
+    do with a tokenizer that gives a probe other ids than its words have.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the generation before; words still in use move on
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.known = _Words(self.tokenizer)
+        self.by_words = self.of_words(_PROBE) == self.whole(_PROBE).tobytes()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def __call__(self, text: str) -> bytes:
-        if _MARK in text or not _PLAIN.match(text):
-            return self.whole(text).tobytes()
-        units, known = _UNIT.findall(text.lower()), self.known
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            self.older, known = known, {}
-            self.known = known
-        new, older = [], self.older
-        for unit in {u for u in units if u not in known}:
-            if unit in older:
-                known[unit] = older[unit]
-            else:
-                new.append(unit)
-        if not new:
-            return b"".join([known[u] for u in units])
-        ids = self.whole(" ".join(new))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(new) or cuts[-1] != len(ids):
+        if not self.by_words or _MARK in text or not _PLAIN.match(text):
             return self.whole(text).tobytes()
-        blob, at = ids.tobytes(), 0
-        for unit, cut in zip(new, cuts.tolist(), strict=True):
-            known[unit] = blob[4 * at : 4 * cut]
-            at = cut
-        return b"".join([known[u] for u in units])
+        return self.of_words(text)
+
+    def of_words(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, _UNIT.findall(text.lower())))
 
 
 @lru_cache(maxsize=1)

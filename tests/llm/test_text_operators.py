@@ -1,9 +1,11 @@
 """Edge cases and brute-force versions of the operators on documents."""
 
+import random
 import re
 import string
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -414,6 +416,20 @@ def check_packing(rows, length):
     return len(by)
 
 
+@pytest.mark.parametrize("cache", [3, 100_000])
+@pytest.mark.parametrize("name", sorted({packing.TOKENIZER, *(f.name for f in Path(packing.tokenizer_path()).parent.glob("*.json"))}))
+def test_ids_are_the_tokenizers_own(monkeypatch, name, cache):
+    ids = packing.WordIds(packing.tokenizer_path(name))
+    assert ids.by_words or name != packing.TOKENIZER
+    monkeypatch.setattr(packing, "CACHE", cache)
+    rng = random.Random(3)
+    signs = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xC0, 0x100)), *"\t\n\r\x0b\x0c\x1c\x85 \xa0", *"'sre'll²½µΣς", "<|", "</w>", " the ", "don't"]
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(15)))
+        assert ids(text) == ids.whole(text).tobytes(), repr(text)
+    assert len(ids.known) <= cache or not ids.by_words
+
+
 def test_packing_pieces_and_offsets(spark):
     from tokenizers import Tokenizer
 
