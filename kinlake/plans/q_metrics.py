@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.operators import metrics
-from kinlake.operators.neighbors import knn
+from kinlake.operators.neighbors import cosine_sums
 from kinlake.plans.entries import query
 from kinlake.plans.q_budget import ALL, vectors
 from kinlake.session import table
@@ -87,9 +87,9 @@ s AS (SELECT i, max(d) FILTER (WHERE own = other) AS a, min(d) FILTER (WHERE own
 SELECT i AS rid, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM s"""
 )
 def silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf)
-    d = knn(v, 10**6, positive=False).select("i", "j", (1 - F.col("cos")).alias("d"))
-    return metrics.silhouette(d, v.select("rid", F.col("truth").alias("label"))).withColumn("silhouette", F.round("silhouette", 6))
+    v = vectors(spark, sf).where("v IS NOT NULL")
+    labels = v.select("rid", F.col("truth").alias("label"))
+    return metrics.silhouette_of_sums(cosine_sums(v, labels), labels).withColumn("silhouette", F.round("silhouette", 6))
 
 
 # runs: months of orders as runs of a study
