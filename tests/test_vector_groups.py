@@ -7,7 +7,7 @@ from kinlake.operators import grouping, neighbors, vector_groups
 from kinlake.plans import q_grouping
 from kinlake.plans.catalog import QUERIES
 
-LEAST = {"label_prop": 0.5}
+LEAST = {"label_prop": 0.5, "leiden": 0.5}
 
 
 def clouds(spark, seed, n=60):
@@ -49,6 +49,18 @@ def test_label_prop_groups_make_no_pairs(spark, tmp_path, monkeypatch):
     assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "label_prop_groups")) == 128
 
 
+@pytest.mark.parametrize("held", [1 << 25, 0])
+@pytest.mark.parametrize("options", [{}, {"resolution": 1.5}, {"refine": False}])
+def test_leiden_over_vectors(spark, monkeypatch, held, options):
+    monkeypatch.setattr(vector_groups, "CELLS", 500)
+    monkeypatch.setattr(vector_groups, "HELD", held)
+    same_as_pairs(spark, "leiden", options, 3)
+
+
+def test_leiden_groups_make_no_pairs(spark, tmp_path, monkeypatch):
+    assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "leiden_groups")) == 128
+
+
 def test_no_vectors_give_no_groups(spark):
     none = spark.createDataFrame([], "rid long, v array<double>")
     for run in vector_groups.VECTORS.values():
