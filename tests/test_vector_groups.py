@@ -65,3 +65,13 @@ def test_no_vectors_give_no_groups(spark):
     none = spark.createDataFrame([], "rid long, v array<double>")
     for run in vector_groups.VECTORS.values():
         assert run(none, 0.1).collect() == []
+
+
+def test_leiden_resolution_makes_no_pairs(spark, tmp_path, monkeypatch):
+    got = queries_without_pairs(spark, tmp_path, monkeypatch, "leiden_resolution")
+    v = clouds(spark, 5)
+    for row in got:
+        labels = spark.createDataFrame(sorted(by_pairs("leiden", v, 0.1, resolution=row["resolution"])), "rid long, label long")
+        want = q_grouping.metrics.quality(labels.selectExpr("rid", "label", "CAST(pmod(rid, 3) AS INT) AS truth")).first()
+        assert (row["ari"], row["pair_f1"]) == (round(want["ari"], 4), round(want["pair_f1"], 4))
+    assert sorted(r["resolution"] for r in got) == [0.5, 1.0, 1.5]
