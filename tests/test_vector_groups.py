@@ -7,7 +7,7 @@ from kinlake.operators import grouping, neighbors, vector_groups
 from kinlake.plans import q_grouping
 from kinlake.plans.catalog import QUERIES
 
-LEAST = {"label_prop": 0.5, "leiden": 0.5}
+LEAST = {"label_prop": 0.5, "leiden": 0.5, "hc": 0.5}
 
 
 def clouds(spark, seed, n=60):
@@ -61,6 +61,34 @@ def test_leiden_groups_make_no_pairs(spark, tmp_path, monkeypatch):
     assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "leiden_groups")) == 128
 
 
+@pytest.mark.parametrize("held", [1 << 25, 1_000])
+@pytest.mark.parametrize("height", [0.0, 0.2, 0.4, 0.99, 1.0])
+def test_average_linkage_over_vectors(spark, monkeypatch, height, held):
+    monkeypatch.setattr(vector_groups, "CELLS", 500)
+    monkeypatch.setattr(vector_groups, "HELD", held)
+    same_as_pairs(spark, "hc", {"hc_h": height}, 4)
+
+
+def test_average_linkage_merges_a_neighbour_of_many():
+    """The nearest of many records merges first, so that theirs must be found anew; by brute force."""
+    x = np.random.default_rng(6).normal(size=(80, 3))
+    x[1:40] = x[0] + 0.4 * x[1:40]
+    graph = vector_groups.Cosines(x / np.linalg.norm(x, axis=1)[:, None], 0.1)
+    w = graph.rows(np.arange(80))
+    parts = [[v] for v in range(80)]
+    while len(parts) > 1:
+        d, a, b = min((round(1 - w[np.ix_(p, q)].mean(), 12), i, i + 1 + j) for i, p in enumerate(parts) for j, q in enumerate(parts[i + 1 :]))
+        if d > 0.3:
+            break
+        parts[a] += parts.pop(b)
+    got = vector_groups.average_linkage_cut(graph, {"height": 0.3})
+    assert sorted(map(sorted, parts)) == sorted(np.flatnonzero(got == c).tolist() for c in np.unique(got))
+
+
+def test_hc_clusters_make_no_pairs(spark, tmp_path, monkeypatch):
+    assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "hc_clusters")) == 128
+
+
 def test_no_vectors_give_no_groups(spark):
     none = spark.createDataFrame([], "rid long, v array<double>")
     for run in vector_groups.VECTORS.values():
