@@ -89,6 +89,29 @@ def test_hc_clusters_make_no_pairs(spark, tmp_path, monkeypatch):
     assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "hc_clusters")) == 128
 
 
+def test_hdbscan_of_points_makes_no_matrix(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, float(np.round(rng.normal(4_000, 2_500), 0)), int(rng.integers(0, 25))) for k in range(150)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    d = grouping.Distances(np.array([(x / 10_000, y / 25) for _, x, y in rows])).matrix()
+    of = grouping.hdbscan_of(d, {"min_points": 5})
+    monkeypatch.setattr(grouping.Distances, "matrix", lambda self: pytest.fail("all distances are made"))
+    got = {r["rid"]: r["label"] for r in QUERIES["hdbscan_groups"](spark, str(tmp_path)).collect()}
+    _, want = np.unique([np.flatnonzero(of == c)[0] for c in of], return_inverse=True)
+    assert [got[k] for k in range(150)] == want.tolist()
+
+
+def test_a_chain_of_records_needs_no_list_for_each_of_its_merges():
+    n, x = 4_000, np.cumsum(np.linspace(1e-5, 2e-4, 4_000))
+    import tracemalloc
+
+    tracemalloc.start()
+    grouping.hdbscan_of(grouping.Distances(x[:, None]), {"min_points": 3})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * grouping.CHUNK * n * 8 + (16 << 20)  # lists of all merges: 64 MB more
+
+
 def test_no_vectors_give_no_groups(spark):
     none = spark.createDataFrame([], "rid long, v array<double>")
     for run in vector_groups.VECTORS.values():
