@@ -61,6 +61,31 @@ def test_leiden_groups_make_no_pairs(spark, tmp_path, monkeypatch):
     assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "leiden_groups")) == 128
 
 
+@pytest.mark.parametrize("held", [1 << 25, 100])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cliques_over_vectors(spark, monkeypatch, seed, held):
+    monkeypatch.setattr(vector_groups, "CELLS", 500)
+    monkeypatch.setattr(vector_groups, "HELD", held)
+    v = clouds(spark, seed)
+    pairs = neighbors.cosine_pairs(v, 0.7).withColumnRenamed("cos", "score")
+    want = {tuple(r) for r in grouping.COMMUNITIES["gc"](pairs, v.select("rid"), threshold=0.7).collect()}
+    got = [tuple(r) for r in vector_groups.VECTORS["gc"](v, 0.7).collect()]
+    assert len(got) == len(set(got)) == v.count() and set(got) == want
+    assert 2 < len({label for _, label in got}) < v.count() - 20
+
+
+def test_links_are_those_of_rounded_cosines():
+    """Cosines from 0.3 - 1e-9 to 0.3 + 1e-9, which short floats can't tell apart."""
+    cos = 0.3 + np.array([-10, -6, -4, 0, 4, 6, 10]) * 1e-10
+    x = np.concatenate([[[1.0, 0.0]], np.stack([cos, np.sqrt(1 - cos**2)], 1)])
+    ((_, j),) = vector_groups.Links(x, 0.3).near(np.array([0]), np.arange(8))
+    assert j.tolist() == [3, 4, 5, 6, 7]
+
+
+def test_gc_groups_make_no_pairs(spark, tmp_path, monkeypatch):
+    assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "gc_groups")) == 128
+
+
 @pytest.mark.parametrize("held", [1 << 25, 1_000])
 @pytest.mark.parametrize("height", [0.0, 0.2, 0.4, 0.99, 1.0])
 def test_average_linkage_over_vectors(spark, monkeypatch, height, held):
