@@ -126,6 +126,30 @@ def test_hdbscan_of_points_makes_no_matrix(spark, tmp_path, monkeypatch):
     assert [got[k] for k in range(150)] == want.tolist()
 
 
+@pytest.mark.parametrize("name", ["hclust_avg", "hclust_ward"])
+def test_hclust_of_copies_makes_distances_of_different_points_only(spark, monkeypatch, name):
+    rng = np.random.default_rng(8)
+    base = np.stack([np.round(rng.uniform(-0.1, 1, 30), 6), rng.integers(0, 25, 30) / 25], 1)
+    x = base[rng.integers(0, 30, 400)]
+    of = grouping.hclust_of(grouping.Distances(x).matrix(), {"ward": name == "hclust_ward"})
+    _, want = np.unique([np.flatnonzero(of == c)[0] for c in of], return_inverse=True)
+    matrix = grouping.Distances.matrix
+    monkeypatch.setattr(grouping.Distances, "matrix", lambda self: matrix(self) if len(self) <= 30 else pytest.fail("all distances are made"))
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(x)], "rid long, x double, y double")
+    got = {r["rid"]: r["label"] for r in grouping.POINTS[name](points, ["x", "y"]).collect()}
+    assert [got[k] for k in range(400)] == want.tolist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("ward", [False, True])
+def test_hclust_of_few_points_with_many_records(seed, ward):
+    """Also where there are fewer points than groups."""
+    rng = np.random.default_rng(seed)
+    x = rng.random((14, 2))[rng.integers(0, 1 + 2 * seed, 40)]
+    d = grouping.Distances(x)
+    assert grouping.hclust_points(d, {"ward": ward}).tolist() == grouping.hclust_of(d.matrix(), {"ward": ward}).tolist()
+
+
 def test_a_chain_of_records_needs_no_list_for_each_of_its_merges():
     n, x = 4_000, np.cumsum(np.linspace(1e-5, 2e-4, 4_000))
     import tracemalloc
