@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
 from kinlake.operators import grouping, neighbors, vector_groups
 from kinlake.plans import q_grouping
@@ -57,6 +58,30 @@ def test_leiden_over_vectors(spark, monkeypatch, held, options):
     same_as_pairs(spark, "leiden", options, 3)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_passes_over_kept_sums_make_few_rows(monkeypatch, seed):
+    """Moves are those of passes that make all weights anew, but rows are made for records that move."""
+    rng = np.random.default_rng(seed)
+    x = np.eye(12)[rng.integers(0, 12, 900)] + np.abs(rng.normal(0, 0.4, (900, 12)))
+    graph = vector_groups.Cosines(x / np.linalg.norm(x, axis=1)[:, None], 0.3)
+    strength, total = graph.strengths() / 1e9, graph.strengths().sum() / 2e9
+    want, seen = np.arange(900), []
+    vector_groups._move(graph, want, strength, total, 1.0, np.random.default_rng(1))
+    for within in (None, np.arange(900) % 7):
+        got, plain = np.arange(900), np.arange(900)
+        tiles, run = vector_groups.Cosines.tiles, vector_groups.Mover.run
+        monkeypatch.setattr(vector_groups.Cosines, "tiles", lambda self, at: seen.append(len(at)) or tiles(self, at))
+        passes = []
+        monkeypatch.setattr(vector_groups.Mover, "run", lambda self, order: passes.append(len(order)) or run(self, order))
+        vector_groups._moved(graph, got, strength, total, 1.0, np.random.default_rng(1), within)
+        monkeypatch.undo()
+        vector_groups._move(graph, plain, strength, total, 1.0, np.random.default_rng(1), within)
+        same = lambda label: [np.flatnonzero(label == c)[0] for c in label]
+        assert same(got) == same(plain)
+        if within is None:
+            assert same(got) == same(want) and sum(passes) > 5 * 900 and sum(seen) < sum(passes)
+
+
 def test_leiden_groups_make_no_pairs(spark, tmp_path, monkeypatch):
     assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "leiden_groups")) == 128
 
@@ -167,6 +192,17 @@ def test_no_vectors_give_no_groups(spark):
         assert run(none, 0.1).collect() == []
 
 
+def test_runs_have_a_task_each(spark, tmp_path):
+    def group(graph, options):
+        (tmp_path / f"{options['k']}-{TaskContext.get().taskAttemptId()}").touch()
+        return np.arange(len(graph)) % options["k"]
+
+    runs = vector_groups.vectors_each(clouds(spark, 5), group, 0.5, [{"k": k} for k in (1, 2, 3)])
+    many = [len({r["label"] for r in run.collect()}) for run in runs]
+    assert many[0] < many[1] < many[2]
+    assert len({p.name.split("-")[1] for p in tmp_path.iterdir()}) == 3
+
+
 def test_leiden_resolution_makes_no_pairs(spark, tmp_path, monkeypatch):
     got = queries_without_pairs(spark, tmp_path, monkeypatch, "leiden_resolution")
     v = clouds(spark, 5)
