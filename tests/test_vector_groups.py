@@ -135,6 +135,21 @@ def test_average_linkage_merges_a_neighbour_of_many():
     assert sorted(map(sorted, parts)) == sorted(np.flatnonzero(got == c).tolist() for c in np.unique(got))
 
 
+def test_average_linkage_holds_small_clusters_against_near_ones(monkeypatch):
+    """By the same merges as over whole rows, which aren't made."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 12))[rng.integers(0, 60, 500)] + rng.normal(0, 0.1, (500, 12))
+    graph = vector_groups.Cosines(x / np.linalg.norm(x, axis=1)[:, None], 0.1)
+    lists = vector_groups.Links.lists
+    with monkeypatch.context() as m:
+        m.setattr(vector_groups.Links, "lists", lambda self, most: lists(self, 0))
+        want = vector_groups.average_linkage_cut(graph, {"height": 0.3})
+    monkeypatch.setattr(vector_groups, "HELD", 5_000)  # clusters are small below 50 records
+    monkeypatch.setattr(vector_groups.Cosines, "rows", lambda *a: pytest.fail("whole rows are made"))
+    assert vector_groups.average_linkage_cut(graph, {"height": 0.3}).tolist() == want.tolist()
+    assert 20 < len(set(want.tolist())) < 100
+
+
 def test_hc_clusters_make_no_pairs(spark, tmp_path, monkeypatch):
     assert len(queries_without_pairs(spark, tmp_path, monkeypatch, "hc_clusters")) == 128
 
